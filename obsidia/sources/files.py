@@ -49,7 +49,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE) -> Dat
 
 def decode_text(content):
     """Bytes as UTF-8 if they are, else as Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, F.lit("UTF-8"))).otherwise(F.decode(content, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def text_blocks(files: DataFrame) -> DataFrame:

@@ -37,29 +37,24 @@ def item_states(events: DataFrame, lease: float = LEASE_SECONDS) -> DataFrame:
     """Each item's state after its new events, in order of time; closed items leave the state store.
 
     events: a stream of item_id, event, at (seconds). State is kept by item, so
-    items spread over all tasks. A lease that runs out while no event comes is
-    seen at the item's next claim; a timeout after twice the lease, in processing
-    time, puts it back to the queue.
+    items spread over all tasks. A lease that has run out frees its item for the
+    next claim, whose own time decides; so no timer is needed, and a batch runs
+    only when events come.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else ("queued", 0, 0.0)
-        if state.hasTimedOut:
-            now, last = ("queued", now[1], 0.0) if now[0] == "processing" else now, now[2]
-        else:
-            rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-            for r in rows.itertuples(index=False):
-                now = step(tuple(now), r.event, r.at, lease)
-            last = float(rows["at"].iloc[-1])
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        for r in rows.itertuples(index=False):
+            now = step(tuple(now), r.event, r.at, lease)
+        last = float(rows["at"].iloc[-1])
         if now[0] in ("queued", "processing"):
             state.update(now)
-            if now[0] == "processing":
-                state.setTimeoutDuration(int(2000 * lease))
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(key[0], *now, last)], columns=["item_id", "status", "attempts", "lease_until", "at"])
 
-    return events.select("item_id", "event", F.col("at").cast("double").alias("at")).groupBy("item_id").applyInPandasWithState(run, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("item_id", "event", F.col("at").cast("double").alias("at")).groupBy("item_id").applyInPandasWithState(run, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def detect_stream(documents: DataFrame, codes=None) -> DataFrame:
