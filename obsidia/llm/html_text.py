@@ -206,7 +206,7 @@ def main_subtree(root: Node) -> Node:
         own = sum(densities[id(x)] for x in node.children if not isinstance(x, str))
         # bare text of a block counts as a child without tags
         own += sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) if node.name in _BLOCK else 0
-        if own > most and node is not root:
+        if own > most and (node is not root or root is body):
             best, most = node, own
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
