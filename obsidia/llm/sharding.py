@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals
+from .common import materialise, running_totals
 
 
 def byte_size(text: Column) -> Column:
@@ -26,12 +26,12 @@ def contiguous_shards(df: DataFrame, order: list[str], size: str, shards: int) -
     input; an empty table gives an empty table; fewer rows than shards leave
     shards empty. Column names of df are free except shard, slot and before_*.
     """
-    sums = running_totals(df.withColumn("one", F.lit(1).cast("long")), order, [size, "one"])
-    total = df.agg(F.sum(size).alias("total"))
-    # one row, so the broadcast is bounded
-    sums = sums.withColumn("_k", F.lit(0)).join(F.broadcast(total.withColumn("_k", F.lit(0))), "_k")
+    # what is wide stays behind: the narrow table is read for its total, its ranges and its rows
+    rows = materialise(df)
+    total = max(1, rows.agg(F.sum(size)).first()[0] or 0)
+    sums = running_totals(rows.withColumn("one", F.lit(1).cast("long")), order, [size, "one"])
     middle = F.col(f"before_{size}") * 2 + F.col(size)
-    cut = sums.withColumn("shard", F.least(F.floor(middle * shards / (F.col("total") * 2)), F.lit(shards - 1)).cast("int"))
+    cut = sums.withColumn("shard", F.least(F.floor(middle * shards / (2 * total)), F.lit(shards - 1)).cast("int"))
     starts = cut.groupBy("shard").agg(F.min("before_one").alias("first"))
     # a row for each shard
     out = cut.join(F.broadcast(starts), "shard").withColumn("slot", F.col("before_one") - F.col("first"))
