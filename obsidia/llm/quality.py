@@ -77,14 +77,11 @@ def host_verdicts(failures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     """
     hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     p = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("m"),
-        (F.sum(F.col("n_docs") * p * p) / F.sum("n_docs")).alias("m2"),
-    ).select(F.lit(0).alias("_k"), "m", F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-9)).alias("v"))
-    strength = F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(1e6))
-    # the moments are one row
-    rated = hosts.withColumn("_k", F.lit(0)).join(F.broadcast(moments), "_k")
-    rated = rated.withColumn("rate", F.round((F.col("n_failed") + strength * F.col("m")) / (F.col("n_docs") + strength), 9))
+    # two figures come to the driver
+    m, m2 = hosts.agg(F.sum("n_failed") / F.sum("n_docs"), F.sum(F.col("n_docs") * p * p) / F.sum("n_docs")).first()
+    m, variance = (m or 0.0), max((m2 or 0.0) - (m or 0.0) ** 2, 1e-9)
+    strength = min(max(m * (1 - m) / variance - 1, 1.0), 1e6)
+    rated = hosts.withColumn("rate", F.round((F.col("n_failed") + strength * m) / (F.col("n_docs") + strength), 9))
     return rated.select("host", "n_docs", "n_failed", "rate", (F.col("rate") <= max_rate).alias("host_kept"))
 
 
