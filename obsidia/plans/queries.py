@@ -83,7 +83,8 @@ _LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2
 
 
 @_query(
-    rf"""WITH hits AS (SELECT doc_id, unnest(regexp_extract_all({_CANONICAL}, '(?:^|[^0-9])((?:[0-9]{{4}}[\s-]?){{3}}[0-9]{{4}})(?:[^0-9]|$)', 1)) AS value FROM documents),
+    rf"""WITH marked AS (SELECT doc_id, regexp_replace({_CANONICAL}, '([^0-9])([0-9])', '\1¦\2', 'g') AS text FROM documents),
+hits AS (SELECT doc_id, replace(unnest(regexp_extract_all(text, '(?:^|¦)((?:[0-9]{{4}}[\s-]?¦?){{3}}[0-9]{{4}})(?:[^0-9]|$)', 1)), '¦', '') AS value FROM marked),
 digits AS (SELECT doc_id, value, list_transform(string_split(regexp_replace(value, '[^0-9]', '', 'g'), ''), lambda c: c::INT) AS d FROM hits)
 SELECT doc_id, value FROM digits WHERE {_LUHN}"""
 )
