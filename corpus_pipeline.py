@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from obsidia.llm.common import materialise
 from obsidia.llm.lines import drop_site_lines
+from obsidia.llm.minhash import one_of_each_near_copy
 from obsidia.llm.mixing import mix_documents
 from obsidia.llm.packing import pack_documents
 from obsidia.llm.quality import passing_documents
 from obsidia.llm.queries import VOCABULARY
-from obsidia.llm.simhash import one_of_each_group
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    return one_of_each_group(docs)
+    """One document of each group that shares 0.8 or more of its five-word shingles: that of the smallest id."""
+    return one_of_each_near_copy(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", packing)]
 
-#: SQL can't express SimHash groups or the packing; tests hold run() against a plain version.
+#: SQL can't express near-duplicate groups or the packing; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 

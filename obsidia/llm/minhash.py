@@ -1,0 +1,158 @@
+"""Near-duplicates by similarity of five-word shingles: MinHash proposes, whole shingle sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .blocks import in_blocks
+from .common import materialise
+from .components import connected_components
+from .simhash import smallest_of_each
+
+SHINGLE = 5
+#: Texts are near-duplicates from this Jaccard similarity of their sets of shingles, as a fraction.
+SIMILAR = (4, 5)
+#: Bands and rows of a band: a pair at 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, ROWS = 20, 5
+#: Equal minima of the 100 from which a pair in a bucket is confirmed; a pair at 0.8 has 80, five deviations of 4 above.
+LEAST_EQUAL = 60
+#: Links that each member of a bucket proposes first.
+FIRST_LINKS = 3
+SEED = 42
+_STEP = 512
+_RNG = np.random.default_rng(SEED)
+_FLIP = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
+_FACTOR = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text's words, repeats included; fewer words than a shingle are one."""
+    n = max(1, len(words) - width + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of 100 mixings."""
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), _STEP):
+        out = np.minimum(out, ((hashes[i : i + _STEP] ^ _FLIP) * _FACTOR).min(axis=1))
+    return out
+
+
+def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, cid (hash of the lower-cased words), band keys and a byte of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, keys, sigs = [], [], []
+            for t in batch.column(2).cast(pa.binary()):
+                words = (t.as_py() or b"").lower().split()
+                least = signature(shingles(words))
+                cids.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                keys.append((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64))
+                sigs.append((least >> np.uint64(8)).astype(np.uint8).tobytes())
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            listed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cids, np.uint64).view(np.int64)), listed, pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "cid", "keys", "sig"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, cid long, keys array<long>, sig binary")
+
+
+def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """cid and the whole set of shingles of each wanted (cid, text_hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles((t.as_py() or b"").lower().split())).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
+
+    texts = docs.select(F.xxhash64(F.col(text)).alias("_hash"), F.col(text).cast("string").alias("text")).join(wanted, F.col("_hash") == F.col("text_hash"))
+    # copies of a wanted text meet before its set is made
+    once = texts.groupBy("cid").agg(F.first("text").alias("text"))
+    return once.mapInArrow(run, "cid long, shingles array<long>")
+
+
+def _proposals(first: int | None):
+    """Pairs (u, v) of a bucket with LEAST_EQUAL equal minima or more and other roots; the `first` likeliest of each row, or all."""
+
+    def compare(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cid, root = table.column("cid").to_numpy(), table.column("root").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            us, vs = [], []
+            across = lo + np.flatnonzero(side[lo:hi] == 1)
+            for i in range(lo, hi):
+                if side[i] == 1:
+                    continue
+                others = np.arange(i + 1, hi) if side[i] == 2 else across
+                others = others[root[others] != root[i]]
+                if not len(others):
+                    continue
+                equal = (sig[others] == sig[i]).sum(axis=1)
+                near = np.flatnonzero(equal >= LEAST_EQUAL)
+                if first is not None and len(near) > first:
+                    near = near[np.argsort(-equal[near], kind="stable")[:first]]
+                us.append(np.full(len(near), cid[i]))
+                vs.append(cid[others[near]])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return compare
+
+
+def _confirmed(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles are as similar as SIMILAR asks."""
+    pairs = materialise(pairs.distinct())
+    wanted = pairs.select(F.col("u").alias("cid")).unionAll(pairs.select(F.col("v").alias("cid"))).distinct().join(classes.select("cid", "text_hash"), "cid")
+    sets = materialise(_shingle_sets(docs, text, wanted))
+    both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    part, whole = SIMILAR
+    return materialise(both.filter(whole * shared >= part * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id and text_hash for every row of docs.
+
+    Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more are linked; component_id is the smallest doc_id reachable, null where
+    no row of the component has an id. A-Z are lower-cased, words are parted by
+    the bytes 9-13 and 32. Texts of the same words are one class, blank and null
+    ones too. Classes that share a band of MinHash are candidates; each link is
+    confirmed on whole sets, so no pair below 0.8 is linked.
+
+    Pairs are proposed twice. First each member of a bucket proposes its
+    FIRST_LINKS likeliest partners, which joins a large group by a number of
+    links that grows with its members; then all pairs that still lie in
+    different components are, so none is left out.
+    """
+    seen = materialise(_signatures(docs, doc_id, text))
+    classes = materialise(seen.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+
+    def proposed(rooted: DataFrame, first: int | None) -> DataFrame:
+        return in_blocks(rooted.select("cid", "root", "sig", F.posexplode("keys").alias("tab", "key")), "cid", _proposals(first), "u long, v long")
+
+    links = _confirmed(docs, text, classes, proposed(classes.withColumn("root", F.col("cid")), FIRST_LINKS))
+    roots = materialise(connected_components(links))
+    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    links = links.unionAll(_confirmed(docs, text, classes, proposed(rooted, None)))
+    roots = connected_components(links).withColumnRenamed("node", "cid")
+    placed = classes.select("cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    verdicts = materialise(placed.join(least, "root").select("cid", "component_id"))
+    return seen.select("doc_id", "text_hash", "cid").join(verdicts, "cid").select("doc_id", "component_id", "text_hash")
+
+
+def one_of_each_near_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component of near_copies(): that of the smallest id."""
+    return smallest_of_each(docs, near_copies(docs, doc_id, text), doc_id, text)

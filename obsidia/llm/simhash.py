@@ -203,13 +203,17 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each near-duplicate component: that of the smallest id.
+    """docs with one document of each near-duplicate component: that of the smallest id."""
+    return smallest_of_each(docs, simhash_components(docs, doc_id, text, width, radius), doc_id, text)
+
+
+def smallest_of_each(docs: DataFrame, verdicts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs whose id is the component_id that verdicts (doc_id, component_id, text_hash) give them.
 
     Rows are told apart by id and 64 bits of hash of the text; rows that agree
     in both are one document. Rows without an id stay only where no row of their
     component has one.
     """
-    verdicts = simhash_components(docs, doc_id, text, width, radius)
     stay = verdicts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
     kept = hashed.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
