@@ -17,6 +17,9 @@ from obsidia.llm.packing import pack_documents
 from obsidia.llm.quality import passing_documents
 from obsidia.llm.queries import VOCABULARY
 
+#: Of a source's pages, the share that a line may stand on in the line dedup; op8's own limit is that of its SQL.
+LINE_RATIO = 0.01
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own and their host's rules."""
@@ -25,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    done = drop_site_lines(docs)
+    done = drop_site_lines(docs, max_ratio=LINE_RATIO)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", length).select(*docs.columns)
 
