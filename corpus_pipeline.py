@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    done = drop_site_lines(docs, max_ratio=LINE_RATIO)
+    done = drop_site_lines(docs, max_ratio=LINE_RATIO, copies_once=True)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", length).select(*docs.columns)
 

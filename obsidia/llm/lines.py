@@ -17,16 +17,20 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """host and the hashes of its boilerplate lines, one row for each host that has any.
 
     A page counts once for each of its lines, trimmed; blank lines don't count.
     Lines are counted by 64-bit hash with partial sums, so a line that a third
     of all pages hold is one row a task. A host's list has at most (mean
-    distinct lines a page) / max_ratio entries.
+    distinct lines a page) / max_ratio entries. With copies_once, rows of a host
+    with equal texts (by 128 bits of hash) are one page.
     """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: _bare(x) != "")
-    pages = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(_bare(x)))).alias("lines"))
+    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("_text"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(_bare(x)))).alias("lines"))
+    if copies_once:
+        pages = pages.withColumn("_h1", F.xxhash64("_text")).withColumn("_h2", F.xxhash64(F.lit("second"), "_text"))
+        pages = pages.groupBy("host", "_h1", "_h2").agg(F.first("lines").alias("lines"))
     # a null stands for the page itself: one pass counts pages and lines
     counted = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     counted = materialise(counted)
@@ -36,19 +40,21 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float =
     return materialise(often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boilerplate")))
 
 
-def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """docs with its hosts' boilerplate lines taken out of the text, and two counts.
 
     Adds n_lines (lines of the text, blank ones too; long) and n_dropped. What
     is left of a text is joined by \\n as before; a text that loses all lines is
     empty; null stays null (no lines). A null host is a host of its own. Hosts
-    with fewer than min_pages pages lose nothing. Repeated rows are pages each.
+    with fewer than min_pages pages lose nothing. Repeated rows are pages each;
+    with copies_once, rows of a host with equal texts count as one page, so a
+    group of copies alone makes none of its lines boilerplate.
 
     The lists of lines go to the pages by a join on host: they are few beside
     the pages, so Spark broadcasts them if their measured size allows; else it
     sorts, and splits hosts that hold many rows.
     """
-    lists = boilerplate_lines(docs, host, text, max_ratio, min_pages).select(F.col("host").alias("_lines_host"), F.col("boilerplate").alias("_lines_drop"))
+    lists = boilerplate_lines(docs, host, text, max_ratio, min_pages, copies_once).select(F.col("host").alias("_lines_host"), F.col("boilerplate").alias("_lines_drop"))
     joined = docs.join(lists, F.col(host).eqNullSafe(F.col("_lines_host")), "left")
     own = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("_lines_drop").isNull(), own).otherwise(F.filter(own, lambda x: (_bare(x) == "") | ~F.array_contains(F.col("_lines_drop"), F.xxhash64(_bare(x)))))

@@ -11,3 +11,11 @@ def lines_left(spark, rows):
 def test_a_line_on_one_page_in_twenty_goes(spark):
     rows = [(f"body {i}" + "\nAll rights reserved." * (i % 20 == 0) + "\nseldom" * (i in (3, 77)), "a") for i in range(200)]
     assert lines_left(spark, rows) == {i: t.replace("\nAll rights reserved.", "") for i, (t, _) in enumerate(rows)}
+
+
+def test_copies_of_a_page_dont_make_its_lines_boilerplate(spark):
+    rows = [("copied line\nanother of it\nfooter", "a")] * 40 + [(f"page {i}\nfooter", "a") for i in range(60)] + [(None, "a")] * 9 + [("alone", None)] * 7
+    left = lines_left(spark, rows)
+    assert [left[i] for i in range(40)] == ["copied line\nanother of it"] * 40
+    assert [left[i] for i in range(40, 100)] == [f"page {i}" for i in range(60)]
+    assert left[100] is None and left[110] == "alone"
