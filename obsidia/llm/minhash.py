@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks
+from .blocks import Forest, in_blocks
 from .common import materialise
 from .components import connected_components
 from .simhash import smallest_of_each
@@ -66,8 +66,9 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, cid long, keys array<long>, sig binary")
 
 
-def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """cid and the whole set of shingles of each wanted (cid, text_hash)."""
+def _shingle_sets(docs: DataFrame, text: str, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    """cid and the whole set of shingles of each class named in cids."""
+    wanted = cids.distinct().join(classes.select("cid", "text_hash"), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,41 +81,73 @@ def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return once.mapInArrow(run, "cid long, shingles array<long>")
 
 
-def _proposals(first: int | None):
-    """Pairs (u, v) of a bucket with LEAST_EQUAL equal minima or more and other roots; the `first` likeliest of each row, or all."""
-
-    def compare(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cid, root = table.column("cid").to_numpy(), table.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            us, vs = [], []
-            across = lo + np.flatnonzero(side[lo:hi] == 1)
-            for i in range(lo, hi):
-                if side[i] == 1:
-                    continue
-                others = np.arange(i + 1, hi) if side[i] == 2 else across
-                others = others[root[others] != root[i]]
-                if not len(others):
-                    continue
+def _likely(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For rows of a bucket, the rows of other roots with LEAST_EQUAL equal minima or more, and how many are equal."""
+    root = table.column("root").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    cuts = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        across = lo + np.flatnonzero(side[lo:hi] == 1)
+        for i in range(lo, hi):
+            if side[i] == 1:
+                continue
+            others = np.arange(i + 1, hi) if side[i] == 2 else across
+            others = others[root[others] != root[i]]
+            if len(others):
                 equal = (sig[others] == sig[i]).sum(axis=1)
                 near = np.flatnonzero(equal >= LEAST_EQUAL)
-                if first is not None and len(near) > first:
-                    near = near[np.argsort(-equal[near], kind="stable")[:first]]
-                us.append(np.full(len(near), cid[i]))
-                vs.append(cid[others[near]])
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    return compare
+                if len(near):
+                    yield i, others[near], equal[near]
+
+
+def _likeliest(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each row's likely partners the FIRST_LINKS likeliest, as (u, v)."""
+    cid, us, vs = table.column("cid").to_numpy(), [], []
+    for i, others, equal in _likely(table, group, side):
+        best = others[np.argsort(-equal, kind="stable")[:FIRST_LINKS]]
+        us.append(np.full(len(best), cid[i]))
+        vs.append(cid[best])
+    if us:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def _undecided(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Members (tab, key, cid) that have a likely partner of another root."""
+    marked = np.zeros(table.num_rows, dtype=bool)
+    for i, others, _ in _likely(table, group, side):
+        marked[i] = marked[others] = True
+    rows = table.select(["tab", "key", "cid"]).filter(pa.array(marked))
+    yield from rows.to_batches()
+
+
+def _similar(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (u, v) of the rows whose sets are as similar as SIMILAR asks."""
+    cid, lists = table.column("cid").to_numpy(), table.column("shingles").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    forest, (part, whole) = Forest(table.num_rows), SIMILAR
+    for i, others, _ in _likely(table, group, side):
+        own = flat[ends[i] : ends[i + 1]]
+        for j in others.tolist():
+            if forest.root[i] == forest.root[j]:
+                continue
+            other = flat[ends[j] : ends[j + 1]]
+            n = len(own) + len(other)
+            # Jaccard can't exceed the ratio of the sizes
+            if whole * min(len(own), len(other)) < part * max(len(own), len(other)):
+                continue
+            shared = len(np.intersect1d(own, other, assume_unique=True))
+            if whole * shared >= part * (n - shared):
+                forest.add(np.array([i]), np.array([j]))
+    if forest.joined:
+        i, j = np.array(forest.joined).T
+        yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j])], ["u", "v"])
 
 
 def _confirmed(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles are as similar as SIMILAR asks."""
     pairs = materialise(pairs.distinct())
-    wanted = pairs.select(F.col("u").alias("cid")).unionAll(pairs.select(F.col("v").alias("cid"))).distinct().join(classes.select("cid", "text_hash"), "cid")
-    sets = materialise(_shingle_sets(docs, text, wanted))
+    sets = materialise(_shingle_sets(docs, text, classes, pairs.select(F.col("u").alias("cid")).unionAll(pairs.select(F.col("v").alias("cid")))))
     both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     part, whole = SIMILAR
@@ -131,21 +164,24 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ones too. Classes that share a band of MinHash are candidates; each link is
     confirmed on whole sets, so no pair below 0.8 is linked.
 
-    Pairs are proposed twice. First each member of a bucket proposes its
-    FIRST_LINKS likeliest partners, which joins a large group by a number of
-    links that grows with its members; then all pairs that still lie in
-    different components are, so none is left out.
+    Large groups are joined first by the FIRST_LINKS likeliest partners of each
+    member of a bucket, so links grow with the members. Pairs that still lie in
+    different components are then all compared inside their buckets, to which
+    the sets of their members go; only a spanning forest leaves a task.
     """
     seen = materialise(_signatures(docs, doc_id, text))
     classes = materialise(seen.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
 
-    def proposed(rooted: DataFrame, first: int | None) -> DataFrame:
-        return in_blocks(rooted.select("cid", "root", "sig", F.posexplode("keys").alias("tab", "key")), "cid", _proposals(first), "u long, v long")
+    def members(rooted: DataFrame) -> DataFrame:
+        return rooted.select("cid", "root", "sig", F.posexplode("keys").alias("tab", "key"))
 
-    links = _confirmed(docs, text, classes, proposed(classes.withColumn("root", F.col("cid")), FIRST_LINKS))
-    roots = materialise(connected_components(links))
-    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    links = links.unionAll(_confirmed(docs, text, classes, proposed(rooted, None)))
+    first = _confirmed(docs, text, classes, in_blocks(members(classes.withColumn("root", F.col("cid"))), "cid", _likeliest, "u long, v long"))
+    roots = connected_components(first).withColumnRenamed("node", "cid")
+    rooted = materialise(classes.select("cid", "keys", "sig").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    left = materialise(in_blocks(members(rooted), "cid", _undecided, "tab int, key long, cid long").distinct())
+    sets = materialise(_shingle_sets(docs, text, classes, left.select("cid")))
+    held = left.join(rooted.select("cid", "root", "sig"), "cid").join(sets, "cid")
+    links = materialise(first.unionAll(in_blocks(held, "cid", _similar, "u long, v long")))
     roots = connected_components(links).withColumnRenamed("node", "cid")
     placed = classes.select("cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -4,7 +4,7 @@ import corpus_pipeline
 
 
 def lines_left(spark, rows):
-    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     return {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
 
 
