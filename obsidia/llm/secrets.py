@@ -20,7 +20,9 @@ BASE = {
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 #: Strings after these words may be secrets, whatever stands between.
 _CONTEXT = re.compile(r"""(?:passphrase|passcode|pwd|credentials?|private|bearer|authorization|auth|signature|session|cookie|access|client|key|password|passwd|secret|token)[\w-]{0,24}["']?\s{0,4}(?:[:=]|=>|\bis\b|\x20)\s{0,4}["'`]?""", re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{16,512}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{16,}")
+#: Characters of a candidate that are compressed at once.
+WINDOW = 512
 #: Code points of the text around a candidate that its compressor has seen.
 AROUND = 512
 #: A candidate is new if it costs more bytes than this share of its own.
@@ -55,26 +57,68 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _cost(text: str, start: int, end: int, run: int, known: dict[int, int]) -> int:
+    """Marginal bytes of a candidate, summed over windows cut at multiples of WINDOW from the start of its run.
+
+    Each window has its own surroundings as dictionary. Whole windows of a run
+    are measured once for all candidates that begin in it.
+    """
+    if end - start <= WINDOW:
+        return marginal_bytes(text[start:end], text[max(0, start - AROUND) : start] + text[end : end + AROUND])
+    total, at = 0, start
+    while at < end:
+        stop = min(end, at + WINDOW - (at - run) % WINDOW)
+        if stop - at < WINDOW or at not in known:
+            cost = marginal_bytes(text[at:stop], text[max(0, at - AROUND) : at] + text[stop : stop + AROUND])
+            if stop - at == WINDOW:
+                known[at] = cost
+        else:
+            cost = known[at]
+        total, at = total + cost, stop
+    return total
+
+
+def _free_parts(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans leave of a candidate: all or nothing up to WINDOW characters, beyond that the parts between them."""
+    touched = sorted((s, e) for s, e, _ in taken if s < end and start < e)
+    if not touched or end - start <= WINDOW:
+        return [] if touched else [(start, end)]
+    out = []
+    for s, e in [*touched, (end, end)]:
+        if s > start:
+            out.append((start, s))
+        start = max(start, e)
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Strings in a sensitive context that the text around them and common identifiers don't explain.
 
-    A candidate has 16 characters or more, letters and digits both, and follows
-    a sensitive word; it is reported if its marginal bytes exceed `novelty` of
-    its length. Base spans that it touches go before it.
+    A candidate has 16 characters or more, of any length, letters and digits
+    both, and follows a sensitive word; it is reported whole if its marginal
+    bytes exceed `novelty` of its length, beyond WINDOW characters those of
+    consecutive windows. Base spans that it touches go before it; of a candidate
+    beyond WINDOW the parts outside them are judged each.
     """
     out: list[tuple[int, int, str]] = []
-    at = 0
+    at = run = run_end = 0
+    known: dict[int, int] = {}
     for context in _CONTEXT.finditer(text):
-        m = _CANDIDATE.match(text, context.end())
-        if m is None or m.start() < at or not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
-            continue
-        start, end = m.start(), m.start() + len(m[0].rstrip(".=!"))
-        if end - start < 16 or any(s < end and start < e for s, e, _ in taken):
+        begin = context.end()
+        if begin < at:
             continue
-        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        if marginal_bytes(text[start:end], around) > novelty * (end - start):
-            out.append((start, end, "novel"))
-            at = end
+        if begin >= run_end:
+            m = _CANDIDATE.match(text, begin)
+            if m is None:
+                continue
+            run, run_end, known = begin, m.end(), {}
+        for start, stop in _free_parts(begin, begin + len(text[begin:run_end].rstrip(".=!")), taken):
+            part = text[start:stop]
+            if stop - start < 16 or not re.search("[0-9]", part) or not re.search("[A-Za-z]", part):
+                continue
+            if _cost(text, start, stop, run, known) > novelty * (stop - start):
+                out.append((start, stop, "novel"))
+                at = stop
     return out
 
 
