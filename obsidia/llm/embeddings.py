@@ -19,6 +19,8 @@ THRESHOLD = 0.95
 SAMPLE = 16384
 #: Of the pairs that just reach the threshold, the share that the tables are to find.
 RECALL = 0.97
+#: Tables at most; a sample so close to its mean that it asks for more is not served in full.
+MAX_TABLES = 1024
 SEED = 7
 _ROUNDS = 40
 
@@ -60,6 +62,23 @@ def table_shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+def tables_after_centring(unit: np.ndarray, mean: np.ndarray, bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Number of tables that finds `recall` of the pairs at the threshold when codes are taken after the mean.
+
+    Of two unit vectors at the threshold, each with cosine c to the mean (as
+    dot product), the centred ones have product threshold - 2c + |mean|² and
+    squared lengths 1 - 2c + |mean|². c is taken from each vector of a sample, and
+    the expected recall over them is asked for.
+    """
+    shift = mean @ mean - 2 * (unit @ mean)
+    cosine = np.clip((threshold + shift) / np.maximum(1 + shift, 1e-12), -1, 1)
+    same = (1 - np.arccos(cosine) / np.pi) ** bits
+    tables = 1
+    while (1 - (1 - same) ** tables).mean() < recall and tables < MAX_TABLES:
+        tables += 1
+    return tables
+
+
 def _unit_rows(vectors: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of unit length, in double precision, filled with zeros up to the width."""
     if isinstance(vectors, pa.ChunkedArray):
@@ -106,7 +125,9 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     if n:
         bits, tables = table_shape(n, threshold, recall)
         taken = classes.orderBy("k1", "k2").limit(sample).select("vector").toArrow().column(0)
-        mean, rotations = learn_rotations(_unit_rows(taken, width), math.ceil(bits * tables / width))
+        unit = _unit_rows(taken, width)
+        tables = max(tables, tables_after_centring(unit, unit.mean(axis=0), bits, threshold, recall))
+        mean, rotations = learn_rotations(unit, math.ceil(bits * tables / width))
         keyed = _keyed(classes, width, mean, rotations, bits, tables)
         found = materialise(in_blocks(keyed, "cid", _bucket_links(width, threshold), "u long, v long, w long"))
     else:
