@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a plain local master may do without, with a folder of its own."""
-    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
