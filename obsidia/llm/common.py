@@ -2,56 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir
+
+#: Rows of a few longs that are broadcast at most, 100 MB or less; beyond that Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Characters that separate words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\f\r"
 #: The same as the inside of a Java character class.
 BLANK_CLASS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master, where both are one process, may do without the
-    setting; a temporary folder is then made once per application.
-    """
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="obsidia-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+#: Paths of the tables that this process has written and not removed yet.
+_written: list[str] = []
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and return a reader of it.
 
     Cuts the lineage: lost executors repeat one task of a later stage and never
-    what came before the table.
+    what came before the table. The table stays until discard() or sweep().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/obsidia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._obsidia_path = path
     return out
 
 
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove the tables written after the first `since`, but for keep: nothing else of a finished stage is read again."""
+    for path in _written[since:]:
+        if path != getattr(keep, "_obsidia_path", None):
+            _remove(spark, path)
+
+
+def written() -> int:
+    """How many tables stand; see sweep()."""
+    return len(_written)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table of materialise() that nothing will read again."""
     path = getattr(df, "_obsidia_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _remove(df.sparkSession, path)
+
+
+def broadcast_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame | None:
+    """rows as a table, to be broadcast if they are counted to be `most` or fewer; None if there are none."""
+    rows = materialise(rows)
+    n = rows.count()
+    if not n:
+        discard(rows)
+        return None
+    return F.broadcast(rows) if n <= most else rows
 
 
 def partitions(spark: SparkSession) -> int:
