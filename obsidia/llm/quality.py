@@ -11,12 +11,16 @@ from .common import BLANKS, let, materialise, words_of
 MIN_WORDS = 50
 #: A document fails if more than this percentage of its words repeat.
 MAX_REPEAT_PERCENT = 50
-#: A document fails for its host's rate if it has more symbols than this share of its words.
+#: A document fails if it has more symbols than this share of its words.
 MAX_SYMBOLS_PER_WORD = 0.5
 #: ... or more repeated lines than this share of its lines.
 MAX_DUP_LINES = 0.5
-#: A host whose shrunken failure rate is above this loses its other documents too.
-MAX_HOST_RATE = 0.9
+#: A host whose shrunken failure rate is so many deviations of the fitted prior above its mean loses its other documents too ...
+HOST_DEVIATIONS = 2.0
+#: ... if more than the first share of it fails; it does in any case if more than the second does.
+HOST_CUT = (0.5, 0.75)
+#: The prior weighs as much as so many documents at least.
+MIN_STRENGTH = 10.0
 
 
 def repeated_words(words: Column) -> Column:
@@ -47,82 +51,91 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(of(words))
 
 
-def text_rules(docs: DataFrame, host: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, host and the figures of each whole text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def text_figures(text: Column) -> Column:
+    """Struct of the figures of a whole text, with base_failed, and failed: by the base rules or those of symbols and lines."""
+    whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    row = let(
-        words_of(F.col(text)),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
-    )
     seen = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(host).alias("host"),
-        row.alias("_w"),
-        seen.alias("_l"),
-        F.length(F.translate(whole, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-    ).select("doc_id", "host", "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines")
+    symbols = (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long")
+    own = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+
+    def judged(x: Column) -> Column:
+        n = x["w"]["n_words"]
+        base = (n < MIN_WORDS) | (100 * x["w"]["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+        failed = base | (x["n_symbols"] > MAX_SYMBOLS_PER_WORD * n) | (x["l"]["n_dup_lines"] > MAX_DUP_LINES * x["l"]["n_lines"])
+        return F.struct(
+            n.alias("n_words"),
+            F.length(F.translate(whole, BLANKS, "")).cast("long").alias("word_chars"),
+            x["n_symbols"].alias("n_symbols"),
+            x["l"]["n_dup_lines"].alias("n_dup_lines"),
+            x["w"]["n_repeat_words"].alias("n_repeat_words"),
+            base.alias("base_failed"),
+            failed.alias("failed"),
+        )
+
+    return let(F.struct(own.alias("w"), seen.alias("l"), symbols.alias("n_symbols")), judged)
 
 
-def host_verdicts(failures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, n_docs, n_failed, rate, host_kept from rows (host, failed boolean).
+def host_verdicts(failures: DataFrame, deviations: float = HOST_DEVIATIONS, cut: tuple[float, float] = HOST_CUT) -> DataFrame:
+    """host, n_docs, n_failed, rate, host_cut, host_kept from rows (host, failed boolean).
 
     The prior is fitted to the hosts' own rates by moments (each host weighted
-    by its documents): a beta with mean m and strength s = m(1-m)/v - 1. A
-    host's rate is (failed + s*m) / (n + s), so a host with few documents stays
-    near the mean of all. Where all hosts have one rate, v is 0 and every host
-    has the mean. A null host is a host of its own.
+    by its documents): a beta with mean m, variance v and strength
+    s = m(1-m)/v - 1, MIN_STRENGTH at least. A host's rate is (failed + s*m) / (n + s), so a host with
+    few documents stays near the mean of all. Hosts go whose rate is above
+    m + deviations * sqrt(v), held between the two shares of cut: a host of
+    which most is sound stays however even the others are, and one of which
+    almost all is junk goes even where it is a third of all rows and widens the
+    prior by itself. Where all hosts have one rate, v is 0 and every host has
+    the mean. A null host is a host of its own; no rows give no hosts.
     """
     hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     p = F.col("n_failed") / F.col("n_docs")
     # two figures come to the driver
     m, m2 = hosts.agg(F.sum("n_failed") / F.sum("n_docs"), F.sum(F.col("n_docs") * p * p) / F.sum("n_docs")).first()
     m, variance = (m or 0.0), max((m2 or 0.0) - (m or 0.0) ** 2, 1e-9)
-    strength = min(max(m * (1 - m) / variance - 1, 1.0), 1e6)
-    rated = hosts.withColumn("rate", F.round((F.col("n_failed") + strength * m) / (F.col("n_docs") + strength), 9))
-    return rated.select("host", "n_docs", "n_failed", "rate", (F.col("rate") <= max_rate).alias("host_kept"))
+    strength = min(max(m * (1 - m) / variance - 1, MIN_STRENGTH), 1e6)
+    limit = round(min(max(m + deviations * variance**0.5, cut[0]), cut[1]), 9)
+    rated = hosts.withColumn("rate", F.round((F.col("n_failed") + strength * m) / (F.col("n_docs") + strength), 9)).withColumn("host_cut", F.lit(limit))
+    return rated.select("host", "n_docs", "n_failed", "rate", "host_cut", (F.col("rate") <= F.col("host_cut")).alias("host_kept"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The verdict of each document: its own base rules, then its host's.
+def quality_rules(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text", deviations: float = HOST_DEVIATIONS, cut: tuple[float, float] = HOST_CUT) -> DataFrame:
+    """The verdict of each document: its own rules, and its host's.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, host, host_rate, host_kept. A document
-    fails for its host if it fails the base rules or has too many symbols or
-    repeated lines; these two alone don't reject the document itself. Rejected:
-    documents that fail the base rules, and all documents of a host whose
-    shrunken rate is above max_host_rate, as almost all of it is junk.
+    fails by the base rules, by too many symbols or by too many repeated lines.
+    Rejected: documents that fail, and all documents of a host that
+    host_verdicts() rejects, as most of it is junk.
 
     The figures, some 80 bytes a document, are written once; host counts are
     summed before they are shuffled, so a host with a third of all rows is one
     row a task. Verdicts go back by a join on host that Spark may broadcast by
     size or split by skew. Null text: no words, so it fails. Repeated rows are
-    judged each. An empty table gives an empty one.
+    judged each. Null ids and sources are kept as they are, a null source is a
+    host. An empty table gives an empty one.
     """
-    n = F.col("n_words")
-    base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    failed = base | (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * n) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
-    figures = materialise(text_rules(docs, host, doc_id, text).withColumn("base_failed", base).withColumn("failed", failed))
-    verdicts = host_verdicts(figures, max_host_rate).withColumnRenamed("host", "_host")
+    figures = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), text_figures(F.col(text)).alias("_f")).select("doc_id", "host", "_f.*"))
+    verdicts = host_verdicts(figures, deviations, cut).withColumnRenamed("host", "_host")
     joined = figures.join(verdicts, F.col("host").eqNullSafe(F.col("_host")))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("host_kept")).alias("kept"),
+        (~F.col("failed") & F.col("host_kept")).alias("kept"),
         "host", F.col("rate").alias("host_rate"), "host_kept",
     )
 
 
-def passing_documents(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def passing_documents(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text", deviations: float = HOST_DEVIATIONS, cut: tuple[float, float] = HOST_CUT) -> DataFrame:
     """The rows of docs that quality_rules() keeps, with their own columns.
 
-    A row's own rules are taken again from its own text, so texts stay in the
-    scan; only host verdicts, which are few, are joined to the rows.
+    Rules are taken once: rows go to a table of the shared folder with their
+    own verdict beside them, host counts come from its narrow columns, and the
+    rows that pass are read back with the verdict of their host, so texts are
+    never shuffled. Odd rows are treated as quality_rules() treats them.
     """
-    verdicts = materialise(quality_rules(docs, host, doc_id, text, max_host_rate).select("host", "host_kept").distinct())
-    row = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    own = docs.withColumn("_rules", row)
-    fails = (F.col("_rules.n_words") < MIN_WORDS) | (100 * F.col("_rules.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_rules.n_words"))
-    kept = own.filter(~fails).join(verdicts.filter("host_kept").select(F.col("host").alias("_host")), F.col(host).eqNullSafe(F.col("_host")))
-    return kept.select(*docs.columns)
+    own = "_verdict_failed"
+    rows = materialise(docs.select(*docs.columns, text_figures(F.col(text))["failed"].alias(own)))
+    verdicts = materialise(host_verdicts(rows.select(F.col(host).alias("host"), F.col(own).alias("failed")), deviations, cut))
+    hosts = verdicts.filter("host_kept").select(F.col("host").alias("_verdict_host"))
+    return rows.filter(~F.col(own)).join(hosts, F.col(host).eqNullSafe(F.col("_verdict_host"))).select(*docs.columns)
