@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .embeddings import embedding_links
 from .html_text import extract_pages
-from .lines import MAX_RATIO, MIN_PAGES, drop_site_lines
+from .lines import MAX_RATIO, drop_site_lines
 from .mixing import MAX_EPOCHS, SEED, WEIGHTS, mix_sizes
 from .packing import pack_documents
-from .quality import MAX_DUP_LINES, MAX_HOST_RATE, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MIN_WORDS, quality_rules
+from .quality import HOST_CUT, HOST_DEVIATIONS, MAX_DUP_LINES, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MIN_STRENGTH, MIN_WORDS, quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -61,7 +61,7 @@ def op5_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return simhash_components(_table(spark, sf_dir, "documents")).drop("root", "text_hash")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ _BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 MIX_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
-         ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (
@@ -114,11 +114,11 @@ plan AS (
   FROM ranked, level),
 placed AS (
   SELECT doc_id, size, place, p.*, target - whole * p.source_size AS extra,
-         sum(size) OVER (PARTITION BY s.source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(size) OVER (PARTITION BY s.source, place) AS words
+         -- rows at one place have equal texts, so any order of them gives the same rows
+         sum(size) OVER (PARTITION BY s.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
-       (size * (whole + CASE WHEN upto - words / 2 <= extra THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN upto - size / 2 <= extra THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed
 """
 
@@ -144,10 +144,14 @@ judged AS (
   SELECT *, base_failed OR n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words OR n_dup_lines > {MAX_DUP_LINES} * n_lines AS failed FROM rules),
 hosts AS (SELECT source, count(*) AS n, sum(failed::INT) AS bad FROM judged GROUP BY source),
 moments AS (SELECT sum(bad) / sum(n) AS m, sum(n * (bad / n) * (bad / n)) / sum(n) AS m2 FROM hosts),
-prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(m2 - m * m, 1e-9) - 1, 1.0), 1e6) AS s FROM moments),
-verdicts AS (SELECT source, round((bad + s * m) / (n + s), 9) <= {MAX_HOST_RATE} AS host_kept FROM hosts, prior)
+spread AS (SELECT m, greatest(m2 - m * m, 1e-9) AS v FROM moments),
+prior AS (
+  SELECT m, least(greatest(m * (1 - m) / v - 1, {MIN_STRENGTH}), 1e6) AS s,
+         round(least(greatest(m + {HOST_DEVIATIONS} * sqrt(v), {HOST_CUT[0]}), {HOST_CUT[1]}), 9) AS host_cut
+  FROM spread),
+verdicts AS (SELECT source, round((bad + s * m) / (n + s), 9) <= host_cut AS host_kept FROM hosts, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT failed AND host_kept AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 
@@ -158,7 +162,7 @@ totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 often AS (
   SELECT e.source, bare FROM each_line e JOIN totals t ON e.source IS NOT DISTINCT FROM t.source
   WHERE bare <> '' GROUP BY e.source, bare, total
-  HAVING count(DISTINCT k) >= {MIN_PAGES} AND count(DISTINCT k) / total > {MAX_RATIO}),
+  HAVING count(DISTINCT k) > 1 AND count(DISTINCT k) - 1 > {MAX_RATIO}::DOUBLE * (total - 1)),
 kept AS (
   SELECT k, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
   FROM each_line e WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.source IS NOT DISTINCT FROM e.source AND o.bare = e.bare) GROUP BY k)
