@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .normalize import plain_canonical, plain_strip
 from .patterns import CAPITALISED, COURT_PARTY, NAME_AFTER_TITLE, NAME_SEQUENCE
 
-#: Common first names and surnames, without accents. Defaults of a parameter: pass your own for better recall.
+#: Some common first names and surnames, without accents: defaults of a parameter. For recall pass longer lists; see read_vocabulary().
 FIRST_NAMES = frozenset(
     "adriana alberto alejandra alejandro alfredo ana andrea andres angela antonia antonio barbara beatriz camila carla carlos carmen carolina catalina cecilia claudia claudio cristian cristina "
     "daniel daniela david diego eduardo elena elisa ester fabian felipe fernanda fernando francisca francisco gabriel gabriela gloria gonzalo guillermo gustavo hector hernan hugo ignacio isabel "
     "ivan jaime javier javiera jorge jose josefa juan juana julia julio karen laura leonardo lorena luis luisa manuel marcela marcelo marco margarita maria mario marta martin mauricio miguel "
     "monica natalia nicolas olga oscar pablo pamela paola patricia patricio paula pedro rafael ramon raul ricardo roberto rocio rodrigo rosa ruben samuel sandra sebastian sergio silvia sofia "
-    "susana tomas valentina valeria veronica vicente victor victoria ximena yolanda rene mabel miguel paulina".split()
+    "susana tomas valentina valeria veronica vicente victor victoria ximena yolanda rene mabel paulina".split()
 )
 SURNAMES = frozenset(
     "acuna aguilar alarcon alvarado alvarez angulo aravena araya arriagada barrera bravo bustos caceres campos cardenas carrasco castillo castro contreras cortes diaz duran espinoza fernandez "
@@ -44,7 +45,18 @@ _LOOSE = frozenset("de del la las los y".split())
 _STOPS = INSTITUTION | PROSE
 
 _TOKEN = re.compile("[A-Za-zÁÉÍÓÚÑÜáéíóúñü]+")
-_SEQUENCE, _TITLE, _PARTY, _FIRST = (re.compile(p) for p in (NAME_SEQUENCE, NAME_AFTER_TITLE, COURT_PARTY, CAPITALISED))
+#: Where a name ends, over one letter a token (see NameFinder.classes): before a second person's «y» and first name, before a stop, and before a connector that leads to one.
+_END = re.compile(r"(?<=..)y(?=[fX])|(?<=.)[ly](?=[xX])|(?<=.)[xX]")
+
+
+class _Evidence(NamedTuple):
+    """A pattern whose group 1 begins with a name, the words that are needed, and what else must hold of them."""
+
+    pattern: re.Pattern
+    least: int
+    holds: Callable[[NameFinder, list[str]], bool]
+    #: Is the group the name as it is?
+    whole: bool = False
 
 
 class NameFinder:
@@ -53,40 +65,49 @@ class NameFinder:
     def __init__(self, first_names: frozenset[str] = FIRST_NAMES, surnames: frozenset[str] = SURNAMES):
         self.first_names, self.surnames = first_names, surnames
 
-    def _length(self, value: str, least: int) -> int | None:
-        """How much of a run of capitalised words is a name; None if too little."""
-        tokens = [(plain_strip(m[0]), m.end()) for m in _TOKEN.finditer(value)]
-        if not tokens or tokens[0][0] in _NEVER_FIRST:
-            return None
-        words = [w for w, _ in tokens]
-        n = len(words)
-        for k in range(1, len(words)):
-            # a second person begins after «y»
-            if words[k] == "y" and k >= 2 and words[k + 1 : k + 2] and words[k + 1] in self.first_names:
-                n = k
-                break
-            if words[k] in _STOPS:
-                n = k - 1 if k > 1 and words[k - 1] in _LOOSE else k
-                break
-        return tokens[n - 1][1] if n >= least else None
+    def classes(self, words: list[str]) -> str:
+        """A letter for each word: x stop, X stop and first name, y «y», l connector, f first name, w another."""
+
+        def letter(w: str) -> str:
+            if w in _STOPS:
+                return "X" if w in self.first_names else "x"
+            return "y" if w == "y" else "l" if w in _LOOSE else "f" if w in self.first_names else "w"
+
+        return "".join(map(letter, words))
+
+    def leading_name(self, run: str) -> tuple[list[str], int]:
+        """The words of the name that a run of capitalised words begins with, and where it ends; no words if it can't be one."""
+        tokens = list(_TOKEN.finditer(run))
+        words = [plain_strip(t[0]) for t in tokens]
+        if not words or words[0] in _NEVER_FIRST:
+            return [], 0
+        end = _END.search(self.classes(words))
+        words = words[: end.start()] if end else words
+        return words, tokens[len(words) - 1].end()
+
+    def is_person(self, words: list[str]) -> bool:
+        """Does a name begin with a first name, or end with two surnames?"""
+        return words[0] in self.first_names or (3 <= len(words) <= 5 and words[0] not in INSTITUTION | NO_PERSON and self.surnames.issuperset(words[-2:]))
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Offsets of names; they may overlap and repeat."""
-        for m in _TITLE.finditer(text):
-            n = self._length(m[1], 1)
-            if n and plain_strip(m[1][:n]) not in _STOPS:
-                yield m.start(1), m.start(1) + n
-        for m in _PARTY.finditer(text):
-            if plain_strip(m[1]) not in INSTITUTION | NO_PERSON:
-                yield m.span(1)
-        for m in _SEQUENCE.finditer(text):
-            n = self._length(m[1], 2)
-            if not n:
-                continue
-            words = plain_strip(m[1][:n]).split()
-            supported = 3 <= len(words) <= 5 and words[0] not in INSTITUTION | NO_PERSON and self.surnames.issuperset(words[-2:])
-            if supported or plain_strip(_FIRST.match(m[1])[0]) in self.first_names:
-                yield m.start(1), m.start(1) + n
+        for e in _EVIDENCE:
+            for m in e.pattern.finditer(text):
+                words, end = ([plain_strip(m[1])], len(m[1])) if e.whole else self.leading_name(m[1])
+                if len(words) >= e.least and e.holds(self, words):
+                    yield m.start(1), m.start(1) + end
+
+
+_EVIDENCE = (
+    _Evidence(re.compile(NAME_AFTER_TITLE), 1, lambda finder, words: " ".join(words) not in _STOPS),
+    _Evidence(re.compile(COURT_PARTY), 1, lambda finder, words: words[0] not in INSTITUTION | NO_PERSON, whole=True),
+    _Evidence(re.compile(NAME_SEQUENCE), 2, NameFinder.is_person),
+)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> frozenset[str]:
+    """A list of names from a text file in any of Spark's stores, one a line; in lower case, without accents. For a driver: lists, not corpora."""
+    return frozenset(plain_strip(r.value).strip() for r in spark.read.text(path).filter("trim(value) <> ''").collect())
 
 
 def name_spans(text: Column, first_names: frozenset[str] = FIRST_NAMES, surnames: frozenset[str] = SURNAMES) -> Column:

@@ -12,7 +12,7 @@ from ..functions.normalize import LOOK_ALIKES, canonical, norm, norm_soft, strip
 from ..functions.patterns import DETECTORS
 from ..functions.spans import detector_spans, matches
 from ..operators import cells as cell_rules
-from ..operators import geometry, jobs, workflow
+from ..operators import geometry, jobs, paged, workflow
 from ..operators.detect import TEXT_CODES, detect, findings
 from ..operators.propagate import propagate
 from ..operators.pseudonyms import batch_aliases, persistent_aliases
@@ -496,7 +496,7 @@ def q_pages(spark, sf_dir):
     pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "x0", "y0", "x1", "y1"))).alias("w"))
     word = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
     pages = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"))).cast(word).alias("words"), F.lit(None).cast(word).alias("verification_words"))
-    return geometry.read_documents(pages, TEXT_CODES).select("doc_id", "page", "entity_code", "text", "score")
+    return paged.read_documents(pages, TEXT_CODES).select("doc_id", "page", "entity_code", "text", "score")
 
 
 @_query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from obsidia.functions.names import FIRST_NAMES, SURNAMES, NameFinder
 from obsidia.operators import geometry as g
+from obsidia.operators import layout, paged
 from obsidia.sources import files, sinks
 
 
@@ -15,12 +16,12 @@ def line(text, y=100, x=10, h=30):
     out = []
     for token in text.split():
         width = max(9 * len(token), 9)
-        out.append(g.Word(token, x, y, x + width, y + h))
+        out.append(layout.Word(token, x, y, x + width, y + h))
         x += width + 8
     return out
 
 
-READER = g.PageReader(NameFinder(FIRST_NAMES, SURNAMES | {"schneider"}))
+READER = layout.PageReader(NameFinder(FIRST_NAMES, SURNAMES | {"schneider"}))
 
 
 @pytest.mark.parametrize(
@@ -43,7 +44,7 @@ def test_names_end_before_the_sentence(text, expected):
 
 @pytest.mark.parametrize(("text", "expected"), [("Sr. josé gómez informa que se revisará", "josé gómez"), ("Sr. J. Pérez explica los antecedentes", "J Pérez"), ("Sr. Carlos López y González presenta antecedentes", "Carlos López y González"), ("Señor y dueño de todo", None), ("Sr. Ministro Juan Pérez", None)])
 def test_titles(text, expected):
-    assert [f.text for f in READER.after_titles(line(text))] == ([expected] if expected else [])
+    assert [f.text for f in READER.after_titles(layout.Page(line(text)))] == ([expected] if expected else [])
 
 
 def test_layout_rules():
@@ -51,30 +52,30 @@ def test_layout_rules():
     roles[2] = roles[2]._replace(x0=roles[1].x1, x1=roles[1].x1 + 45)
     roles[3] = roles[3]._replace(x0=roles[2].x1 + 8, x1=roles[2].x1 + 44)
     roles[4] = roles[4]._replace(x0=roles[3].x1 + 8, x1=roles[3].x1 + 60)
-    assert [f.text for f in READER.before_roles(roles)] == ["Ana Müller Soto"]
-    assert [f.text for f in READER.labelled_ids(line("RUT 12.345.678-9 otro"), [])] == ["12.345.678-9"]
-    assert READER.labelled_ids(line("RUT 76.543.210-3"), []) == []
+    assert [f.text for f in READER.before_roles(layout.Page(roles))] == ["Ana Müller Soto"]
+    assert [f.text for f in READER.labelled_ids(layout.Page(line("RUT 12.345.678-9 otro")))] == ["12.345.678-9"]
+    assert READER.labelled_ids(layout.Page(line("RUT 76.543.210-3"))) == []
     page = line("Residencia", 100, 400) + line("Los Pinos 123 Talca", 150, 400) + line("sin numero", 200, 400)
-    assert [f.text for f in READER.residences(page)] == ["Los Pinos 123"]
+    assert [f.text for f in READER.residences(layout.Page(page))] == ["Los Pinos 123"]
     page = line("en calle Los Aromos", 100) + line("N° 45, oficina 3", 140)
-    assert [f.text for f in READER.wrapped_streets(page)] == ["calle Los Aromos N° 45 oficina 3"]
+    assert [f.text for f in READER.wrapped_streets(layout.Page(page))] == ["calle Los Aromos N° 45 oficina 3"]
     page = line("comer", 100, 300) + line("cializadora Juan", 140, 300)
-    company = g.Finding("NOMBRE", "cializadora Juan", tuple(w.box for w in page[1:]), 0.7)
-    assert READER.plausible([company], page) == []
-    short, full = g.Finding("NOMBRE", "Ana", ((0, 0, 5, 5),), 0.7), g.Finding("NOMBRE", "Ana Soto", ((0, 0, 20, 5),), 0.7)
-    assert READER.plausible([short, full, g.Finding("NOMBRE", "Motor 3", ((50, 0, 60, 5),), 0.7)], []) == [full]
+    company = layout.Finding("NOMBRE", "cializadora Juan", tuple(w.box for w in page[1:]), 0.7)
+    assert READER.plausible(layout.Page(page), [company]) == []
+    short, full = layout.Finding("NOMBRE", "Ana", ((0, 0, 5, 5),), 0.7), layout.Finding("NOMBRE", "Ana Soto", ((0, 0, 20, 5),), 0.7)
+    assert READER.plausible(layout.Page([]), [short, full, layout.Finding("NOMBRE", "Motor 3", ((50, 0, 60, 5),), 0.7)]) == [full]
 
 
 def test_repeated_and_configured_names():
     first, second = line("Paula Sahr Henríquez firma"), line("PAULASAHR HENRIQUEZ y") + line("otra PAULA SAHR HENRÍQUEZ.", 300)
-    found = [(1, g.Finding("NOMBRE", "Paula Sahr Henríquez", tuple(w.box for w in first[:3]), 0.7))]
-    again = g.repeated_values([(1, first), (2, second)], found)
+    found = [(1, layout.Finding("NOMBRE", "Paula Sahr Henríquez", tuple(w.box for w in first[:3]), 0.7))]
+    again = layout.repeated_values([(1, first), (2, second)], found)
     assert [(n, f.text) for n, f in again] == [(2, "PAULA SAHR HENRÍQUEZ"), (2, "PAULASAHR HENRIQUEZ")] or {n for n, _ in again} == {2}
-    names = g.exact_names([(1, line("El Señor Zeta Beta")), (2, line("Gama vive; zeta no, Zeta sí"))], ["Zeta Beta Gama", "Zeta"])
+    names = layout.exact_names([(1, line("El Señor Zeta Beta")), (2, line("Gama vive; zeta no, Zeta sí"))], ["Zeta Beta Gama", "Zeta"])
     assert [(n, f.text, f.score) for n, f in names] == [(1, "Zeta Beta", 1.0), (2, "Gama", 1.0), (2, "Zeta", 1.0)]
-    assert g.has_reference(line("Oficio número 12 de"), [["numero", "12"]]) and not g.has_reference(line("x"), [["y"], []])
-    full = [(n, g.Finding("NOMBRE", "Miguel Aravena Angulo", ((0, 0, 1, 1),), 0.7)) for n in (1, 2)]
-    found = g.abbreviated_names([(3, 1000, line("MIG ARAVENA ANGULO"))], full)
+    assert layout.has_reference(line("Oficio número 12 de"), [["numero", "12"]]) and not layout.has_reference(line("x"), [["y"], []])
+    full = [(n, layout.Finding("NOMBRE", "Miguel Aravena Angulo", ((0, 0, 1, 1),), 0.7)) for n in (1, 2)]
+    found = layout.abbreviated_names([(3, 1000, line("MIG ARAVENA ANGULO"))], full, FIRST_NAMES)
     assert [(n, f.text, f.score) for n, f in found] == [(3, "MIG ARAVENA ANGULO", 0.82)]
 
 
@@ -83,15 +84,15 @@ def test_pages_as_tables(spark):
     rows = [(1, 1, 2000.0, 2400.0, [tuple([w.text, *map(float, w.box)]) for w in line("Sr. Felipe Muñoz consulta; correo a@b.cl")], None), (1, 2, 2000.0, 2400.0, [tuple([w.text, *map(float, w.box)]) for w in line("vino FELIPE MUÑOZ ayer")], None), (2, 1, 10.0, 10.0, [], None), (3, 1, 10.0, 10.0, None, None)]
     pages = spark.createDataFrame(rows, f"doc_id long, page int, width double, height double, words {word}, verification_words {word}")
     codes = ["NOMBRE", "EMAIL"]
-    assert sorted((r.page, r.entity_code, r.text) for r in g.read_pages(pages, codes).collect()) == [(1, "EMAIL", "a@b.cl"), (1, "NOMBRE", "Felipe Muñoz"), (2, "NOMBRE", "FELIPE MUÑOZ")]
-    got = g.read_documents(pages, codes, ["consulta"]).collect()
+    assert sorted((r.page, r.entity_code, r.text) for r in paged.read_pages(pages, codes).collect()) == [(1, "EMAIL", "a@b.cl"), (1, "NOMBRE", "Felipe Muñoz"), (2, "NOMBRE", "FELIPE MUÑOZ")]
+    got = paged.read_documents(pages, codes, ["consulta"]).collect()
     assert {(r.page, r.text) for r in got} >= {(1, "Felipe Muñoz"), (2, "FELIPE MUÑOZ"), (1, "a@b.cl"), (1, "consulta")}
     words = pages.select("doc_id", "page", F.posexplode("words").alias("idx", "w")).select("doc_id", "page", "idx", "w.*")
     texts = {}
     for r in g.page_texts(words).orderBy("doc_id", "page", "idx").collect():
         texts[r.doc_id, r.page] = texts.get((r.doc_id, r.page), "") + r.separator + r.text
         assert len(texts[r.doc_id, r.page]) == r.end
-    assert texts[1, 2] == g.text_of(line("vino FELIPE MUÑOZ ayer"))[0]
+    assert texts[1, 2] == layout.Page(line("vino FELIPE MUÑOZ ayer")).text()[0]
 
 
 def test_gaps_boxes_and_decisions(spark):
