@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from obsidia.llm.embeddings import embedding_links, table_shape, tables_after_centring
+from obsidia.llm.embeddings import MAX_TABLES, differing_after_centring, embedding_links, shape_after_centring, table_shape
 from tests.llm.test_pairs import check_links
 
 
@@ -38,4 +38,24 @@ def test_no_mean_needs_no_more_tables():
     v = np.random.default_rng(1).standard_normal((4000, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
     bits, tables = table_shape(4000)
-    assert tables_after_centring(v, np.zeros(64), bits) == tables
+    assert shape_after_centring(4000, differing_after_centring(v, np.zeros(64)))[:2] == (bits, tables)
+
+
+def test_keys_get_shorter_where_more_tables_would_be_needed():
+    """Vectors so close to their mean that any recall has its price: in comparisons, not in tables."""
+    bits, tables, radius = shape_after_centring(10**6, np.full(100, 0.4))
+    assert tables <= MAX_TABLES and bits < table_shape(10**6)[0] and 1 - (1 - 0.6**bits) ** tables >= 0.97 and radius <= bits * tables
+
+
+def test_pairs_are_found_at_a_mean_of_0_83(spark):
+    """Pairs at 0.951 to 0.965 among vectors that share a mean of norm 0.83, with other vectors around."""
+    rng = np.random.default_rng(5)
+    base = with_mean(4000, 64, 0.83**2, rng)
+    rows = [b.tolist() for b in base]
+    for b in base[:600]:
+        c = rng.uniform(0.951, 0.965)
+        noise = rng.standard_normal(64)
+        noise -= noise @ b * b
+        rows.append((c * b + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise)).tolist())
+    docs = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    assert check_links(list(enumerate(rows)), embedding_links(docs).collect(), 0.95) >= 0.95
