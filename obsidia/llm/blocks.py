@@ -9,40 +9,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import broadcast_if_small, partitions
 
 #: Members of a bucket that one task holds from either side.
-BLOCK = 2048
+BLOCK = 512
 
 
-def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK, buckets: DataFrame | None = None) -> DataFrame:
     """Run compare over every pair of blocks of each bucket.
 
     rows: members of buckets, with the bucket's place in columns (tab, key) and
     a long column `member`, unique in a bucket. A bucket of more than `block`
     members is dealt into blocks by hash, and each pair of blocks is a group of
     its own, so that no task holds more than two blocks of a bucket and every
-    pair of members meets exactly once. Buckets of one member drop out.
+    pair of members meets exactly once.
+
+    Rows are shuffled once. Before that only the buckets are counted, from
+    `buckets` (the same places without what is wide) if given; those of more
+    than a block, at most rows / block, are joined to the rows.
 
     compare(table, group, side) gets whole groups, sorted by tab, with the
     number of each row's group and its side: rows of side 0 and 1 in a group
     are to be compared across sides, rows of side 2 with each other.
     """
     n = partitions(rows.sparkSession)
-    sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    held = rows.join(sizes, ["tab", "key"])
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    held = held.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(member), "_blocks").cast("int"))
-    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    held = held.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
-    held = held.withColumn("_side", F.when(F.col("_lo") == F.col("_hi"), 2).when(F.col("_own") == F.col("_lo"), 0).otherwise(1))
+    large = (rows if buckets is None else buckets).groupBy("tab", "key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    large = broadcast_if_small(large)
+    if large is None:
+        held = rows.select("*", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), F.lit(2).alias("_side"))
+    else:
+        held = rows.join(large, ["tab", "key"], "left")
+        blocks = F.ceil(F.coalesce("_n", F.lit(1)) / block).cast("int")
+        held = held.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(member), "_blocks").cast("int"))
+        held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        held = held.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+        held = held.withColumn("_side", F.when(F.col("_lo") == F.col("_hi"), 2).when(F.col("_own") == F.col("_lo"), 0).otherwise(1))
+        held = held.drop("_n", "_blocks", "_own", "_other")
     keys = ["tab", "key", "_lo", "_hi"]
-    dealt = held.drop("_n", "_blocks", "_own", "_other").repartition(n, *keys).sortWithinPartitions(*keys)
+    dealt = held.repartition(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, keys, 16 * block):
-            starts = _starts(table, keys)
-            group = np.cumsum(starts) - 1
+            group = np.cumsum(_starts(table, keys)) - 1
+            several = np.bincount(group)[group] > 1
+            if not several.all():
+                table = table.filter(pa.array(several)).combine_chunks()
+                if not table.num_rows:
+                    continue
+                group = np.cumsum(_starts(table, keys)) - 1
             yield from compare(table, group, table.column("_side").to_numpy())
 
     return dealt.mapInArrow(run, schema)
@@ -77,6 +91,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
+def runs(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last-plus-one row of each group."""
+    cuts = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1)) if len(group) else np.empty(0, int)
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
 class Forest:
     """Union-find over 0..n-1 that remembers which unions joined two trees."""
 

@@ -1,4 +1,11 @@
-"""Near-duplicates by similarity of five-word shingles: MinHash proposes, whole shingle sets decide."""
+"""Operator 6 by similarity: SimHash of five-word shingles, wide radius, decided by whole shingle sets.
+
+The similarity that counts, 0.8, lies some ten bits from a document's own
+SimHash, farther than bands of the fingerprint itself can search. Documents
+therefore meet in buckets by the least hashes of their shingles; inside, all
+fingerprints are compared bit-sliced, and pairs within the radius are decided
+on whole sets.
+"""
 
 from __future__ import annotations
 
@@ -13,57 +20,62 @@ from pyspark.sql import functions as F
 from .blocks import Forest, in_blocks
 from .common import materialise
 from .components import connected_components
-from .simhash import smallest_of_each
+from .simhash import close_pairs, majority, one_of_each, shingle_hashes
 
 SHINGLE = 5
 #: Texts are near-duplicates from this Jaccard similarity of their sets of shingles, as a fraction.
 SIMILAR = (4, 5)
-#: Bands and rows of a band: a pair at 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
-BANDS, ROWS = 20, 5
-#: Equal minima of the 100 from which a pair in a bucket is confirmed; a pair at 0.8 has 80, five deviations of 4 above.
-LEAST_EQUAL = 60
+#: Bits in which fingerprints may differ. At 0.8 two sets have a cosine of 0.89, so 10 bits differ on average, with a deviation of 3; of unrelated texts 32.
+RADIUS = 22
+#: Tables and least hashes of a key: a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+TABLES, ROWS = 20, 5
 #: Links that each member of a bucket proposes first.
 FIRST_LINKS = 3
 SEED = 42
 _STEP = 512
 _RNG = np.random.default_rng(SEED)
-_FLIP = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
-_FACTOR = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 64, (TABLES * ROWS, 1), dtype=np.uint64)
+_FACTOR = _RNG.integers(0, 1 << 63, (TABLES * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """XXH64 of each shingle of a text's words, repeats included; fewer words than a shingle are one."""
-    n = max(1, len(words) - width + 1)
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The set of a text's shingles, by hash, in order; a text without words has the empty shingle."""
+    parts = list(shingle_hashes(words, SHINGLE, SEED)) or [np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)]
+    return np.unique(np.concatenate(parts))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each of 100 mixings."""
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each table, from the least of the hashes under some mixings."""
+    least = np.full(TABLES * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), _STEP):
-        out = np.minimum(out, ((hashes[i : i + _STEP] ^ _FLIP) * _FACTOR).min(axis=1))
-    return out
+        least = np.minimum(least, ((hashes[i : i + _STEP] ^ _FLIP) * _FACTOR).min(axis=1))
+    return (least.reshape(TABLES, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _words(text: pa.BinaryScalar) -> list[bytes]:
+    return (text.as_py() or b"").lower().split()
 
 
-def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_hash, cid (hash of the lower-cased words), band keys and a byte of each minimum."""
+def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, cid (hash of the lower-cased words), bucket keys and SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, keys, sigs = [], [], []
+            cids, keys, fps = [], [], []
             for t in batch.column(2).cast(pa.binary()):
-                words = (t.as_py() or b"").lower().split()
-                least = signature(shingles(words))
+                words = _words(t)
+                hashes = shingle_set(words)
                 cids.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                keys.append((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64))
-                sigs.append((least >> np.uint64(8)).astype(np.uint8).tobytes())
+                keys.append(bucket_keys(hashes))
+                fps.append(majority([hashes]))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            listed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cids, np.uint64).view(np.int64)), listed, pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "cid", "keys", "sig"])
+            listed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, TABLES, dtype=np.int32), pa.array(flat))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cids, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed[0], listed, signed[1]], ["doc_id", "text_hash", "cid", "keys", "fp"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, cid long, keys array<long>, sig binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, cid long, keys array<long>, fp long")
 
 
 def _shingle_sets(docs: DataFrame, text: str, classes: DataFrame, cids: DataFrame) -> DataFrame:
@@ -72,7 +84,7 @@ def _shingle_sets(docs: DataFrame, text: str, classes: DataFrame, cids: DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles((t.as_py() or b"").lower().split())).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            sets = [shingle_set(_words(t)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
 
     texts = docs.select(F.xxhash64(F.col(text)).alias("_hash"), F.col(text).cast("string").alias("text")).join(wanted, F.col("_hash") == F.col("text_hash"))
@@ -81,42 +93,36 @@ def _shingle_sets(docs: DataFrame, text: str, classes: DataFrame, cids: DataFram
     return once.mapInArrow(run, "cid long, shingles array<long>")
 
 
-def _likely(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For rows of a bucket, the rows of other roots with LEAST_EQUAL equal minima or more, and how many are equal."""
-    root = table.column("root").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    cuts = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        across = lo + np.flatnonzero(side[lo:hi] == 1)
-        for i in range(lo, hi):
-            if side[i] == 1:
-                continue
-            others = np.arange(i + 1, hi) if side[i] == 2 else across
-            others = others[root[others] != root[i]]
-            if len(others):
-                equal = (sig[others] == sig[i]).sum(axis=1)
-                near = np.flatnonzero(equal >= LEAST_EQUAL)
-                if len(near):
-                    yield i, others[near], equal[near]
-
-
-def _likeliest(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each row's likely partners the FIRST_LINKS likeliest, as (u, v)."""
-    cid, us, vs = table.column("cid").to_numpy(), [], []
-    for i, others, equal in _likely(table, group, side):
-        best = others[np.argsort(-equal, kind="stable")[:FIRST_LINKS]]
-        us.append(np.full(len(best), cid[i]))
-        vs.append(cid[best])
-    if us:
-        u, v = np.concatenate(us), np.concatenate(vs)
+def _close(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of a bucket that have different roots and fingerprints within the radius."""
+    fps, root = table.column("fp").to_numpy().view(np.uint64), table.column("root").to_numpy()
+    for i, j in close_pairs(fps, group, side, radius=RADIUS):
+        apart = root[i] != root[j]
+        if apart.any():
+            yield i[apart], j[apart]
+
+
+def _nearest(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each row's close partners the FIRST_LINKS nearest, as (u, v)."""
+    cid, fps = table.column("cid").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+    best = np.empty((3, 0), np.int64)
+    for i, j in _close(table, group, side):
+        distance = np.bitwise_count(fps[i] ^ fps[j])
+        best = np.concatenate([best, [i, distance, j], [j, distance, i]], axis=1)
+        best = best[:, np.lexsort(best[::-1])]
+        first = np.flatnonzero(np.diff(best[0], prepend=-1))
+        nth = np.arange(best.shape[1]) - np.repeat(first, np.diff(first, append=best.shape[1]))
+        best = best[:, nth < FIRST_LINKS]
+    if best.shape[1]:
+        u, v = cid[best[0]], cid[best[2]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
 
 def _undecided(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Members (tab, key, cid) that have a likely partner of another root."""
+    """Members (tab, key, cid) that have a close partner of another root."""
     marked = np.zeros(table.num_rows, dtype=bool)
-    for i, others, _ in _likely(table, group, side):
-        marked[i] = marked[others] = True
+    for i, j in _close(table, group, side):
+        marked[i] = marked[j] = True
     rows = table.select(["tab", "key", "cid"]).filter(pa.array(marked))
     yield from rows.to_batches()
 
@@ -126,19 +132,16 @@ def _similar(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[p
     cid, lists = table.column("cid").to_numpy(), table.column("shingles").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     forest, (part, whole) = Forest(table.num_rows), SIMILAR
-    for i, others, _ in _likely(table, group, side):
-        own = flat[ends[i] : ends[i + 1]]
-        for j in others.tolist():
-            if forest.root[i] == forest.root[j]:
-                continue
-            other = flat[ends[j] : ends[j + 1]]
-            n = len(own) + len(other)
-            # Jaccard can't exceed the ratio of the sizes
-            if whole * min(len(own), len(other)) < part * max(len(own), len(other)):
-                continue
-            shared = len(np.intersect1d(own, other, assume_unique=True))
-            if whole * shared >= part * (n - shared):
-                forest.add(np.array([i]), np.array([j]))
+    sizes = np.diff(ends)
+    for i, j in _close(table, group, side):
+        # Jaccard can't exceed the ratio of the sizes
+        possible = whole * np.minimum(sizes[i], sizes[j]) >= part * np.maximum(sizes[i], sizes[j])
+        for a, b in zip(i[possible].tolist(), j[possible].tolist(), strict=True):
+            if forest.root[a] != forest.root[b]:
+                n = int(sizes[a] + sizes[b])
+                shared = len(np.intersect1d(flat[ends[a] : ends[a + 1]], flat[ends[b] : ends[b + 1]], assume_unique=True))
+                if whole * shared >= part * (n - shared):
+                    forest.add(np.array([a]), np.array([b]))
     if forest.joined:
         i, j = np.array(forest.joined).T
         yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j])], ["u", "v"])
@@ -155,40 +158,41 @@ def _confirmed(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame)
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id and text_hash for every row of docs.
+    """doc_id, component_id, text_hash and component (a class that names it) for every row of docs.
 
     Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
     more are linked; component_id is the smallest doc_id reachable, null where
     no row of the component has an id. A-Z are lower-cased, words are parted by
     the bytes 9-13 and 32. Texts of the same words are one class, blank and null
-    ones too. Classes that share a band of MinHash are candidates; each link is
-    confirmed on whole sets, so no pair below 0.8 is linked.
+    ones too. Classes that share a bucket and whose SimHash differs in at most
+    RADIUS bits are candidates; each link is confirmed on whole sets, so no pair
+    below 0.8 is linked. Repeated rows get a row each, an empty table an empty one.
 
-    Large groups are joined first by the FIRST_LINKS likeliest partners of each
+    Large groups are joined first by the FIRST_LINKS nearest partners of each
     member of a bucket, so links grow with the members. Pairs that still lie in
     different components are then all compared inside their buckets, to which
     the sets of their members go; only a spanning forest leaves a task.
     """
-    seen = materialise(_signatures(docs, doc_id, text))
-    classes = materialise(seen.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    seen = materialise(_sketches(docs, doc_id, text))
+    classes = materialise(seen.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
 
     def members(rooted: DataFrame) -> DataFrame:
-        return rooted.select("cid", "root", "sig", F.posexplode("keys").alias("tab", "key"))
+        return rooted.select("cid", "root", "fp", F.posexplode("keys").alias("tab", "key"))
 
-    first = _confirmed(docs, text, classes, in_blocks(members(classes.withColumn("root", F.col("cid"))), "cid", _likeliest, "u long, v long"))
+    first = _confirmed(docs, text, classes, in_blocks(members(classes.withColumn("root", F.col("cid"))), "cid", _nearest, "u long, v long"))
     roots = connected_components(first).withColumnRenamed("node", "cid")
-    rooted = materialise(classes.select("cid", "keys", "sig").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    rooted = materialise(classes.select("cid", "keys", "fp").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     left = materialise(in_blocks(members(rooted), "cid", _undecided, "tab int, key long, cid long").distinct())
     sets = materialise(_shingle_sets(docs, text, classes, left.select("cid")))
-    held = left.join(rooted.select("cid", "root", "sig"), "cid").join(sets, "cid")
-    links = materialise(first.unionAll(in_blocks(held, "cid", _similar, "u long, v long")))
+    held = left.join(rooted.select("cid", "root", "fp"), "cid").join(sets, "cid")
+    links = materialise(first.unionAll(in_blocks(held, "cid", _similar, "u long, v long", buckets=left)))
     roots = connected_components(links).withColumnRenamed("node", "cid")
     placed = classes.select("cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    verdicts = materialise(placed.join(least, "root").select("cid", "component_id"))
-    return seen.select("doc_id", "text_hash", "cid").join(verdicts, "cid").select("doc_id", "component_id", "text_hash")
+    verdicts = materialise(placed.join(least, "root").select("cid", "component_id", F.col("root").alias("component")))
+    return seen.select("doc_id", "text_hash", "cid").join(verdicts, "cid").select("doc_id", "component_id", "text_hash", "component")
 
 
 def one_of_each_near_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component of near_copies(): that of the smallest id."""
-    return smallest_of_each(docs, near_copies(docs, doc_id, text), doc_id, text)
+    """docs with one document of each component of near_copies(), by the rules of one_of_each()."""
+    return one_of_each(docs, near_copies(docs, doc_id, text), doc_id, text)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Forest, in_blocks
-from .common import materialise
+from .common import broadcast_if_small, materialise
 from .components import connected_components
 
 SHINGLE = 3
@@ -23,35 +23,48 @@ BITS = 64
 BAND = 16
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 15
+#: Words of 64 pairs that are compared at once.
+_WORDS = 1 << 15
 
 
-def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the XXH64 of all shingles of a UTF-8 text, repeats included.
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of a text's words, repeats included, in arrays of bounded size.
 
-    A-Z are lower-cased; words are parted by the bytes 9-13 and 32. Fewer words
-    than a shingle are one shingle; no words give 0. A bit is set if it is set
-    in over half the hashes.
+    Fewer words than a shingle are one shingle; no words have none.
     """
-    words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-        return int(hashes[0])
+        yield np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.empty_like(ends)
     starts[0], starts[1:] = 0, ends[:-1] + 1
     n = len(words) - width + 1
-    set_bits = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, n, _STEP):
         k = min(_STEP, n - i)
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[i : i + k].tolist(), ends[i + width - 1 : i + width - 1 + k].tolist(), strict=True)), np.uint64, k)
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[i : i + k].tolist(), ends[i + width - 1 : i + width - 1 + k].tolist(), strict=True)), np.uint64, k)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes: a bit is set if it is set in over half of them. No hashes give 0."""
+    set_bits, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
         set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the XXH64 of all shingles of a UTF-8 text, repeats included.
+
+    A-Z are lower-cased; words are parted by the bytes 9-13 and 32.
+    """
+    return majority(shingle_hashes(text.lower().split(), width, seed))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash and fp, the fingerprint as a signed long, of each whole text (null: empty)."""
 
@@ -79,23 +92,23 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, places: list[int], radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (i, j) of rows of one group whose fingerprints differ in at most radius (1-3) of places.
+def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, places: Iterable[int] = range(BITS), radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index arrays (i, j) of rows of one group whose fingerprints differ in at most radius of places.
 
-    Bits are held vertically: one plane for each place, a bit for each row. At a
-    lag d, row i meets row i + d; a plane's differences come from the plane and
-    itself shifted by d, 64 rows a word, and are added to carry-save counters of
-    two bits, `ones` and `twos`, while `over` holds the rows beyond the radius.
-    Words (blocks of 64 rows) whose rows are all over are abandoned after each
-    few planes, so most need a dozen of the planes.
+    group: numbers of the rows' groups, in order. Bits are held vertically: one
+    plane for each place, a bit for each row. At a lag d, row i meets row i + d,
+    so 64 pairs of a lag are one word, and a plane's differences are the plane
+    and itself shifted by d. Two planes at a time are added to carry-save
+    counters; these start so far below their end that they overflow where the
+    radius is exceeded, and `over` holds those pairs. Words whose pairs are all
+    over are abandoned after each few planes.
     """
     n = len(fps)
     if n < 2:
         return
-    size = np.bincount(group - group[0])
-    ids = group.astype(np.int64)
+    ids = group.astype(np.int64) - int(group[0])
+    sizes = np.bincount(ids)[ids]
     words = -(-n // 64)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def pack(bits: np.ndarray) -> np.ndarray:
         out = np.zeros((words + 2) * 8, dtype=np.uint8)
@@ -104,48 +117,63 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, places: li
         return out.view(np.uint64)
 
     planes = [pack((fps >> np.uint64(p) & np.uint64(1)).astype(np.uint8)) for p in places]
+    at, lag, live, waiting = [], [], [], 0
     rows = np.arange(n)
-    longest = size[ids - ids[0]]
-    for d in range(1, int(size.max())):
+    for d in range(1, int(sizes.max())):
         # only groups longer than the lag have pairs left at it
-        here = rows[: n - d][longest[: n - d] > d]
+        rows = rows[sizes[rows] > d]
+        here = rows[rows < n - d]
         here = here[ids[here] == ids[here + d]]
         here = here[(side[here] == 2) | (side[here] != side[here + d])]
-        if not len(here):
-            continue
-        live = np.zeros(words * 64, dtype=np.uint8)
-        live[here] = 1
-        over = ~np.packbits(live, bitorder="little").view(np.uint64)
-        at = np.flatnonzero(over != full)
-        over = over[at]
-        ones, twos = np.zeros_like(over), np.zeros_like(over)
-        step, right = divmod(d, 64)
-        for k, plane in enumerate(planes):
-            shifted = _taken(plane, at + step)
-            if right:
-                shifted = shifted >> np.uint64(right) | _taken(plane, at + step + 1) << np.uint64(64 - right)
-            x = _taken(plane, at) ^ shifted
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
-            over |= (ones & twos) if radius == 2 else (twos if radius == 1 else np.uint64(0))
-            if k % 4 == 3:
-                alive = over != full
-                if not alive.all():
-                    at, over, ones, twos = at[alive], over[alive], ones[alive], twos[alive]
-                    if not len(at):
-                        break
-        if len(at):
-            bits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            w, b = np.nonzero(bits)
-            i = at[w] * 64 + b
-            yield i, i + d
-
-
-def _taken(plane: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The words of a plane at these places; beyond its end there are zeros."""
-    return plane[np.minimum(at, len(plane) - 1)]
+        if len(here):
+            bits = np.zeros(words * 64, dtype=np.uint8)
+            bits[here] = 1
+            mask = np.packbits(bits, bitorder="little").view(np.uint64)
+            some = np.flatnonzero(mask)
+            at.append(some)
+            lag.append(np.full(len(some), d))
+            live.append(mask[some])
+            waiting += len(some)
+            if waiting >= _WORDS:
+                yield from _survivors(planes, np.concatenate(at), np.concatenate(lag), np.concatenate(live), radius)
+                at, lag, live, waiting = [], [], [], 0
+    if waiting:
+        yield from _survivors(planes, np.concatenate(at), np.concatenate(lag), np.concatenate(live), radius)
+
+
+def _survivors(planes: list[np.ndarray], at: np.ndarray, lag: np.ndarray, live: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of some words (64 rows from 64 * at, each with the row a lag behind) that stay within the radius."""
+    full, last = np.uint64(0xFFFFFFFFFFFFFFFF), len(planes[0]) - 1
+    over = ~live
+    start = (1 << radius.bit_length()) - 1 - radius
+    counters = [np.full(len(at), full if start >> k & 1 else 0, np.uint64) for k in range(radius.bit_length())]
+    far, right = np.minimum(at + lag // 64, last), (lag % 64).astype(np.uint64)
+    next_, left = np.minimum(far + 1, last), np.uint64(63) - right
+
+    def differences(plane: np.ndarray) -> np.ndarray:
+        return plane[at] ^ (plane[far] >> right | plane[next_] << np.uint64(1) << left)
+
+    for k in range(0, len(planes), 2):
+        a = differences(planes[k])
+        b = differences(planes[k + 1]) if k + 1 < len(planes) else np.zeros_like(a)
+        ones = counters[0]
+        half = ones ^ a
+        carry = (ones & a) | (half & b)
+        counters[0] = half ^ b
+        for c in range(1, len(counters)):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        over |= carry
+        if k % 8 == 6:
+            alive = over != full
+            if not alive.all():
+                at, lag, over, far, next_, right, left = at[alive], lag[alive], over[alive], far[alive], next_[alive], right[alive], left[alive]
+                counters = [c[alive] for c in counters]
+                if not len(at):
+                    return
+    word, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    i = at[word] * 64 + bit
+    if len(i):
+        yield i, i + lag[word]
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -182,15 +210,16 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id and text_hash for every row of docs.
+    """doc_id, fingerprint, component_id, root and text_hash for every row of docs.
 
     Fingerprints within the radius are linked; component_id is the smallest
-    doc_id reachable. Copies share a fingerprint, so only distinct fingerprints
+    doc_id reachable, root a fingerprint that names the component. Copies share a fingerprint, so only distinct fingerprints
     are compared and joined; each carries its smallest doc_id. Ids and
     fingerprints, 16 bytes a document, are written once; texts stay in the
     scan. Null and blank texts have fingerprint 0 and link like others. A null
     doc_id counts for nobody's smallest; component_id is null where no row of
-    the component has an id. Repeated rows get a row each.
+    the component has an id. Repeated rows get a row each. An empty table gives
+    an empty one.
     """
     fps = materialise(fingerprints(docs, doc_id, text, width))
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -198,24 +227,39 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     roots = connected_components(links)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(placed.join(least, "root").select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "text_hash")
+    classes = materialise(placed.join(least, "root").select("fp", "component_id", "root"))
+    return fps.join(classes, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "root", "text_hash")
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each near-duplicate component: that of the smallest id."""
-    return smallest_of_each(docs, simhash_components(docs, doc_id, text, width, radius), doc_id, text)
+    """docs with one document of each near-duplicate component: that of the smallest id; see one_of_each()."""
+    found = simhash_components(docs, doc_id, text, width, radius).select("doc_id", "text_hash", F.col("root").alias("component"))
+    return one_of_each(docs, found, doc_id, text)
+
 
+def one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one document of each component that members (doc_id, text_hash, component) tell.
 
-def smallest_of_each(docs: DataFrame, verdicts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of docs whose id is the component_id that verdicts (doc_id, component_id, text_hash) give them.
+    It is that of the smallest id; ids that tie, and rows without an id, which
+    come last, go by the hash of the text. Rows are told apart by id and 64 bits
+    of hash of the text; rows that agree in both are one document.
 
-    Rows are told apart by id and 64 bits of hash of the text; rows that agree
-    in both are one document. Rows without an id stay only where no row of their
-    component has one.
+    Who goes is decided on ids and hashes. These are broadcast to the scan of
+    the texts if they are counted to be few (BROADCAST_ROWS), so that no text is
+    shuffled; else Spark joins them by shuffle. Only texts of repeated rows meet.
     """
-    stay = verdicts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = members.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("rows"))
+    rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")))
+    first = rows.groupBy("component").agg(F.min("place").alias("first"))
+    judged = rows.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("place") == F.col("first")).alias("_stays"), (F.col("rows") > 1).alias("_several"))
+    decided = broadcast_if_small(judged.filter(~F.col("_stays") | F.col("_several")))
+    if decided is None:
+        return docs
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    kept = hashed.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    first = Window.partitionBy(doc_id, "_text_hash").orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(*docs.columns)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    left = hashed.join(decided, same, "left_anti").select(*docs.columns)
+    again = broadcast_if_small(decided.filter("_stays"))
+    if again is None:
+        return left
+    several = hashed.join(again, same, "left_semi").groupBy(doc_id, "_text_hash").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return left.unionAll(several.select("_row.*"))

@@ -90,6 +90,24 @@ def test_bit_slices_find_all_close_pairs(seed):
     assert got == want
 
 
+@pytest.mark.parametrize("radius", [1, 3, 10, 22])
+def test_bit_slices_at_any_radius(radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(9)]
+    fps = np.array([rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 20))) for _ in range(300)], np.uint64)
+    group = np.sort(np.array([rng.randrange(6) for _ in range(300)]))
+    got = {(int(a), int(b)) for i, j in close_pairs(fps, group, np.full(300, 2), radius=radius) for a, b in zip(i, j, strict=True)}
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and int(fps[i] ^ fps[j]).bit_count() <= radius} and got
+
+
+def test_ties_and_rows_without_ids_leave_one_of_each(spark):
+    """Rows that differ in case and blanks have one fingerprint: without ids, or with the same one, one of them stays."""
+    rows = [(None, "One two three four five"), (None, "one TWO three four  five"), (None, "ONE two three four five"), (5, "Six seven eight"), (5, "six seven EIGHT"), (5, "six seven EIGHT"), (9, "other words here")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component int").repartition(3)
+    out = one_of_each_group(docs).collect()
+    assert sorted((str(r.doc_id), r.text.lower().replace("  ", " "), r.component) for r in out) == [("5", "six seven eight", 1), ("9", "other words here", 1), ("None", "one two three four five", 1)]
+
+
 def test_buckets_beyond_a_block(spark, monkeypatch):
     from obsidia.llm import blocks, simhash
 
@@ -179,5 +197,5 @@ def test_no_vectors_and_no_ids(spark):
 
 
 def test_tables_follow_the_number_of_vectors():
-    assert table_shape(100)[0] == 8 and table_shape(50_000)[0] == 12
+    assert table_shape(100)[0] == 8 and table_shape(50_000)[0] == 9 and table_shape(10**9)[0] == 23
     assert all(table_shape(10**k)[1] < table_shape(10 ** (k + 1))[1] for k in range(5, 9))
