@@ -40,15 +40,15 @@ DETECTORS = [
         ignore_case=True, guard=r"[@(\[]|(?i)arroba", fallback=True,
     ),
     Detector("WEB_REDES", r"(?:https?://|www\.)\S+(?:(?<=[/\-_=?&])\n[^\s@]+)?|(?<![\w@.])@[A-Za-z0-9_.]{3,30}\b", ignore_case=True, guard=r"@|://|(?i)www\."),
-    Detector("RUT", r"(?<![\d.])\d{1,2}(?:" + _H + r"*\.?" + _H + r"*\d{3}){2}" + _H + r"*-?\s*[\dkK](?![\d])", guard=r"\d\D*\d\D*\d\D*\d", check="rut"),
+    Detector("RUT", r"(?<![\d.])\d{1,2}(?:" + _H + r"*\.?" + _H + r"*\d{3}){2}" + _H + r"*-?\s*[\dkK](?![\d])", guard=r"\d{3}\s*-?\s*[\dkK]", check="rut"),
     Detector("IP", r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\d)", guard=r"\d\.\d"),
-    Detector("TARJETA", r"(?<![\d])(?:\d{4}[\s-]?){3}\d{4}(?![\d])", guard=r"\d{4}", check="luhn"),
+    Detector("TARJETA", r"(?<![\d])(?:\d{4}[\s-]?){3}\d{4}(?![\d])", guard=r"\d{4}[\s-]?\d{4}[\s-]?\d{4}", check="luhn"),
     Detector("CUENTA_BANCARIA", r"(?:cuenta\s+(?:corriente|vista|rut|de\s+ahorro|bancaria)?|cta\.?\s*(?:cte\.?)?|n[°º]\s*de\s*cuenta)\s*" + _NUMBER_SIGN + r"(\d[\d\s.-]{5,22}\d)", 1, True, r"(?i)cuenta|cta"),
     Detector("PASAPORTE", r"pasaporte\s*" + _NUMBER_SIGN + r"([A-Z0-9]{6,12})", 1, True, "(?i)pasaporte"),
-    Detector("FOLIO", r"(?:folio|expediente|exp\.|ingreso|(?:causa\s+)?rol|n[°º]\s*de\s*(?:ingreso|solicitud|caso|ticket))\s*(?:n[°º]\.?)?\s*[:.]?\s*([A-Z]{0,3}[-\s]?\d[\d.\-/]{2,20})", 1, True, r"\d"),
-    Detector("FECHA_NACIMIENTO", r"(?:fecha\s+de\s+nacimiento|nacid[oa]\s+(?:el|en)|nacimiento|f\.\s*nac\.?)\s*[:.]?\s*(" + _DATE + ")", 1, True, r"\d"),
-    Detector("TELEFONO", r"(?<![\d.])(?:\+?56[\s.-]?)?(?:\(?\s?(?:9|2|3[2-9]|4[1-5]|5[1-8]|6[1-7]|7[1-5])\s?\)?[\s.-]?)\d{3,4}[\s.-]?\d{4}(?![\d])", guard=r"\d{4}", check="phone"),
-    Detector("TELEFONO", r"\b(?:tel[eé]fono|tel\s+fono|fono|celular)" + _H + r"*[:.]?" + _H + r"*(0[2-9][\s.-]?\d{7,8})(?!\d)", 1, True, r"\d{7}"),
+    Detector("FOLIO", r"(?:folio|expediente|exp\.|ingreso|(?:causa\s+)?rol|n[°º]\s*de\s*(?:ingreso|solicitud|caso|ticket))\s*(?:n[°º]\.?)?\s*[:.]?\s*([A-Z]{0,3}[-\s]?\d[\d.\-/]{2,20})", 1, True, r"(?i)folio|expediente|exp\.|ingreso|rol|n[°º]\s*de"),
+    Detector("FECHA_NACIMIENTO", r"(?:fecha\s+de\s+nacimiento|nacid[oa]\s+(?:el|en)|nacimiento|f\.\s*nac\.?)\s*[:.]?\s*(" + _DATE + ")", 1, True, r"(?i)nac"),
+    Detector("TELEFONO", r"(?<![\d.])(?:\+?56[\s.-]?)?(?:\(?\s?(?:9|2|3[2-9]|4[1-5]|5[1-8]|6[1-7]|7[1-5])\s?\)?[\s.-]?)\d{3,4}[\s.-]?\d{4}(?![\d])", guard=r"\d{3}[\s.-]?\d{4}", check="phone"),
+    Detector("TELEFONO", r"\b(?:tel[eé]fono|tel\s+fono|fono|celular)" + _H + r"*[:.]?" + _H + r"*(0[2-9][\s.-]?\d{7,8})(?!\d)", 1, True, r"(?i)fono|celular"),
     Detector("PATENTE", r"(?<![A-Z0-9])(?:[B-DF-HJ-LP-TV-Z]{4}[.\-\s]?\d{2}|[A-Z]{2}[.\-\s]?\d{4})(?![A-Z0-9])", guard=r"[A-Z]{2}[.\-\s]?\d\d", check="plate"),
     Detector(
         "DIRECCION",
@@ -56,9 +56,9 @@ DETECTORS = [
         + r"+[A-ZÁÉÍÓÚÑ0-9][^\n,;]{1,60}?" + _H + r"*(?:N[°º]" + _H + r"*)?\d{1,5}"
         + r"(?:" + _H + r"*(?:," + _H + r"*)?(?:depto\.?|departamento|oficina|of\.?|piso|casa|local|block)" + _H + r"*\w{1,6})*"
         + r"(?:" + _H + r"*," + _H + r"*(?:comuna" + _H + r"+de" + _H + r"+)?[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:" + _H + r"+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)?)?",
-        ignore_case=True, guard=r"\d",
+        ignore_case=True, guard=r"(?i)(?:\bav|calle|pasaje|pje|camino|ruta|callej|diagonal|alameda|parcela|lote|\bkm)[^\n]*\d",
     ),
-    Detector("FECHA", _DATE, ignore_case=True, guard=r"\d", check="date"),
+    Detector("FECHA", _DATE, ignore_case=True, guard=r"\d[/.-]\d|(?i)\d\s+de\s", check="date"),
 ]
 
 #: A capitalised word, and words that may stand between two of a name.

@@ -1,9 +1,19 @@
-"""Spans struct<start, end, code>: matches with offsets, overlaps, and splicing, as expressions."""
+"""Spans struct<start, end, code>: matches with offsets, overlaps, and splicing, as expressions.
+
+All are linear in a text and its spans, or nearly so: an array that grows by
+one in a fold is copied each time, so folds run over short stretches, whose ends
+are folded again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..catalog import PRIORITY
 from .arrays import let
@@ -12,28 +22,43 @@ from .validators import CHECKS
 
 SPAN = "struct<start:int,end:int,code:string>"
 NO_SPANS = f"array<{SPAN}>"
+#: Values that one fold gathers.
+STRETCH = 128
+#: Spans from which a text is cut in Python, as Spark finds a code point only from the start of a text.
+MANY = 64
+
+
+def scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running results, from 0 on, of a function over an array of ints that has some.
+
+    A fold over stretches, each folded from where the last one ended.
+    """
+    none = F.array().cast("array<int>")
+
+    def stretch(last: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(combine(acc["last"], x).alias("last"), F.array_append(acc["out"], combine(acc["last"], x)).alias("out"))
+        # by place: slice() copies the whole array first
+        own = F.transform(F.sequence(start, F.least(start + STRETCH - 1, F.size(values) - 1)), lambda i: values[i])
+        return F.aggregate(own, F.struct(last.alias("last"), none.alias("out")), step)
+
+    starts = F.sequence(F.lit(0), F.size(values) - 1, F.lit(STRETCH))
+    whole = F.struct(F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("out"))
+    return F.flatten(F.aggregate(starts, whole, lambda acc, s: let(stretch(acc["last"], s), lambda r: F.struct(r["last"].alias("last"), F.array_append(acc["out"], r["out"]).alias("out"))), lambda acc: acc["out"]))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of a pattern's matches, offsets in code points.
 
     What stands between matches and the matches themselves, in turn, make up the
-    text, so their lengths give the offsets. Group 1 must end its match.
+    text, so running sums of their lengths give the offsets. Group 1 must end
+    its match.
     """
 
     def placed(whole: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        rows = F.arrays_zip(whole.alias("whole"), values.alias("value"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"))
-        folded = F.aggregate(
-            rows,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-            lambda acc, r: let(
-                acc["at"] + F.length(r["gap"]) + F.length(r["whole"]),
-                lambda end: F.struct(end.alias("at"), F.array_append(acc["out"], F.struct((end - F.length(r["value"])).alias("start"), end.alias("end"), r["value"].alias("value"))).alias("out")),
-            ),
-        )
-        return folded["out"]
+        lengths = F.zip_with(whole, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), lambda w, gap: F.length(w) + F.length(gap))
+        ends = let(lengths, lambda x: scan(x, lambda a, b: a + b))
+        return F.zip_with(values, ends, lambda v, end: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) == 0, none).otherwise(placed(whole)))
@@ -54,27 +79,77 @@ def detector_spans(text: Column, detector: Detector) -> Column:
     return spans
 
 
-def without(spans: Column, taken: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: overlaps(s, t)))
+@cache
+def _rank() -> dict[str, int]:
+    return {code: i for i, code in enumerate(PRIORITY)}
 
 
-def resolve(spans: Column) -> Column:
-    """Disjoint spans in order of start: by priority, then start, then the longer, then emission."""
-    rank = F.create_map(*[F.lit(x) for pair in zip(PRIORITY, range(len(PRIORITY)), strict=True) for x in pair])
+def _resolve_few(spans: Column) -> Column:
+    """resolve() of spans that all may overlap, each against all taken ones."""
+    rank = F.create_map(*[F.lit(x) for pair in _rank().items() for x in pair])
     keyed = F.transform(spans, lambda s, i: F.struct(F.coalesce(rank[s["code"]], F.lit(99)).alias("rank"), s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), i.alias("nth"), s.alias("span")))
     taken = F.aggregate(F.array_sort(keyed), F.array().cast(NO_SPANS), lambda acc, k: F.when(F.exists(acc, lambda t: overlaps(t, k["span"])), acc).otherwise(F.array_append(acc, k["span"])))
     return F.array_sort(taken)
 
 
-def splice(text: Column, spans: Column, replacement) -> Column:
-    """Text with each of the disjoint, ordered spans replaced by replacement(value, code)."""
-    whole = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), replacement(F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["code"])).alias("done"),
-            s["end"].alias("at"),
-        ),
-        lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+def clusters(spans: Column) -> Column:
+    """Spans in order of start, as an array of arrays: spans of different arrays don't overlap.
+
+    A span begins a cluster if it begins at or after the furthest end before it.
+    """
+
+    def of(s: Column) -> Column:
+        reach = scan(F.transform(s, lambda x: x["end"]), F.greatest)
+
+        def cut(r: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i]["start"] >= r[F.greatest(i - 1, F.lit(0))]))
+            return let(begins, lambda b: F.transform(b, lambda at, k: F.transform(F.sequence(at, F.coalesce(F.get(b, k + 1), F.size(s)) - 1), lambda i: s[i])))
+
+        return let(reach, cut)
+
+    # a stable order: emission decides among spans of the same place and category
+    order = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("nth"), s.alias("span")))
+    return let(F.transform(F.array_sort(order), lambda x: x["span"]), of)
+
+
+def resolve(spans: Column) -> Column:
+    """Disjoint spans in order of start: by priority, then start, then the longer, then emission.
+
+    Only spans of a cluster can exclude each other, so each cluster is resolved
+    by itself; where clusters are few spans each, as in any text, time is linear.
+    """
+    single = lambda c: F.when(F.size(c) == 1, c).otherwise(_resolve_few(c))
+    return F.when(F.size(spans) < 2, spans).when(F.size(spans) <= 16, _resolve_few(spans)).otherwise(F.flatten(F.transform(clusters(spans), single)))
+
+
+def without(spans: Column, taken: Column) -> Column:
+    """Spans that overlap none of taken; where there are many, only those of the same cluster are compared."""
+    few = F.filter(spans, lambda s: ~F.exists(taken, lambda t: overlaps(s, t)))
+    marked = F.concat(F.transform(taken, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("code"))), spans)
+    own = lambda c: F.filter(c, lambda s: s["code"].isNotNull() & ~F.exists(c, lambda t: t["code"].isNull() & overlaps(s, t)))
+    many = F.flatten(F.transform(clusters(marked), own))
+    return F.when(F.size(spans) * F.size(taken) <= 4096, few).otherwise(many)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _cut(texts: pd.Series, bounds: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else [t[a:b] for a, b in zip(x[:-1], x[1:], strict=True)] for t, x in zip(texts, bounds, strict=True)])
+
+
+def pieces(text: Column, spans: Column) -> Column:
+    """What lies before, in and after disjoint, ordered spans, in turn: 2n + 1 strings."""
+    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"]))), F.array(F.length(text)))
+    few = let(bounds, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: F.substring(text, b[i] + 1, b[i + 1] - b[i])))
+    many = F.size(spans) > MANY
+    return F.when(many, _cut(F.when(many, text), F.when(many, bounds))).otherwise(few)
+
+
+def values_of(text: Column, spans: Column) -> Column:
+    """The text of each span, in order."""
+    return let(pieces(text, spans), lambda p: F.transform(spans, lambda s, i: p[2 * i + 1]))
+
+
+def splice(text: Column, spans: Column, replacement: Callable[[Column, Column], Column]) -> Column:
+    """Text with each of the disjoint, ordered spans replaced by replacement(value, span)."""
+    new = F.transform(pieces(text, spans), lambda p, i: F.when(i % 2 == 0, p).otherwise(replacement(p, spans[F.floor(i / 2).cast("int")])))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(new, ""))

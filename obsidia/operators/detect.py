@@ -4,35 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import DEFAULT_SCORE, ENTITIES, SCORES
-from ..functions.arrays import let
 from ..functions.names import FIRST_NAMES, SURNAMES, name_spans
 from ..functions.normalize import canonical
 from ..functions.patterns import DETECTORS, Detector
-from ..functions.spans import NO_SPANS, detector_spans, resolve, without
+from ..functions.spans import NO_SPANS, detector_spans, resolve, values_of, without
 
 TEXT_CODES = tuple(c for c in ENTITIES if c != "FIRMA")
 
 
-def candidate_spans(text: Column, codes: Iterable[str]) -> Column:
-    """Spans of every pattern of the codes, in order of emission; text must be canonical."""
-    wanted = set(codes)
+def candidate_spans(df: DataFrame, text: str, codes: Iterable[str], out: str) -> DataFrame:
+    """df with the spans of every pattern of the codes, in order of emission; text must be canonical.
+
+    A category's fallback counts only where its strict pattern found nothing, so
+    the strict spans are a column of their own first.
+    """
+    wanted, whole = set(codes), F.col(text)
     fallbacks = {d.code: d for d in DETECTORS if d.fallback and d.code in wanted}
-    parts = []
+    parts, strict = [], []
     for d in DETECTORS:
-        if d.code in wanted and not d.fallback:
-            later = fallbacks.pop(d.code, None)
-            own = detector_spans(text, d)
-            parts.append(own if later is None else let(own, _also(text, later)))
-    return F.concat(*parts) if parts else F.array().cast(NO_SPANS)
-
-
-def _also(text: Column, detector: Detector):
-    """A function that adds a fallback's spans to those of the strict pattern."""
-    return lambda strict: F.concat(strict, without(detector_spans(text, detector), strict))
+        if d.code not in wanted or d.fallback:
+            continue
+        own = detector_spans(whole, d)
+        if later := fallbacks.pop(d.code, None):
+            strict.append(f"{out}_{d.code}")
+            df = df.withColumn(strict[-1], own)
+            own = F.concat(F.col(strict[-1]), without(detector_spans(whole, later), F.col(strict[-1])))
+        parts.append(own)
+    return df.withColumn(out, F.concat(*parts) if parts else F.array().cast(NO_SPANS)).drop(*strict)
 
 
 def detect(df: DataFrame, codes: Iterable[str] = TEXT_CODES, text: str = "text", spans: str = "spans", first_names: frozenset[str] = FIRST_NAMES, surnames: frozenset[str] = SURNAMES) -> DataFrame:
@@ -43,11 +45,10 @@ def detect(df: DataFrame, codes: Iterable[str] = TEXT_CODES, text: str = "text",
     """
     wanted = set(codes)
     whole = df.withColumn("_canonical", canonical(F.coalesce(F.col(text), F.lit(""))))
-    found = candidate_spans(F.col("_canonical"), wanted)
+    whole = candidate_spans(whole, "_canonical", wanted, "_candidates")
     if "NOMBRE" in wanted:
-        whole = whole.withColumn("_names", name_spans(F.col("_canonical"), first_names, surnames))
-        found = F.concat(found, F.col("_names"))
-    return whole.withColumn(spans, let(found, resolve)).drop("_canonical", "_names")
+        whole = whole.withColumn("_candidates", F.concat("_candidates", name_spans(F.col("_canonical"), first_names, surnames)))
+    return whole.withColumn(spans, resolve(F.col("_candidates"))).drop("_canonical", "_candidates")
 
 
 def findings(df: DataFrame, keys: list[str], text: str = "text", spans: str = "spans") -> DataFrame:
@@ -56,14 +57,16 @@ def findings(df: DataFrame, keys: list[str], text: str = "text", spans: str = "s
     The id is a digest of keys, code and offsets, so a rerun gives the same.
     """
     score = F.create_map(*[F.lit(x) for pair in SCORES.items() for x in pair])
-    rows = df.select(*keys, text, F.explode(spans).alias("_s"))
+    whole = df.withColumn("_values", values_of(F.coalesce(F.col(text), F.lit("")), F.col(spans)))
+    # the text stays behind: a row of the result holds its value alone
+    rows = whole.select(*keys, F.explode(F.zip_with(spans, "_values", lambda s, v: F.struct(s.alias("span"), v.alias("value")))).alias("_s"))
     out = rows.select(
         *keys,
-        F.col("_s.start").alias("start"),
-        F.col("_s.end").alias("end"),
-        F.col("_s.code").alias("entity_code"),
-        F.substring(F.col(text), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("text"),
-        F.coalesce(score[F.col("_s.code")], F.lit(DEFAULT_SCORE)).alias("score"),
+        F.col("_s.span.start").alias("start"),
+        F.col("_s.span.end").alias("end"),
+        F.col("_s.span.code").alias("entity_code"),
+        F.col("_s.value").alias("text"),
+        F.coalesce(score[F.col("_s.span.code")], F.lit(DEFAULT_SCORE)).alias("score"),
         F.lit("auto").alias("source"),
         F.lit("accepted").alias("status"),
     )

@@ -60,9 +60,9 @@ def treat_spans(df: DataFrame, treatment: str = "redact", text: str = "text", sp
     """Add the text with its spans treated; with aliases, a map from code:norm to alias."""
     from ..functions.normalize import norm
 
-    def of(value: Column, code: Column) -> Column:
-        alias = F.col(aliases)[F.concat_ws(":", code, norm(value))] if aliases else None
-        return replacement(value, code, treatment, alias)
+    def of(value: Column, span: Column) -> Column:
+        alias = F.col(aliases)[F.concat_ws(":", span["code"], norm(value))] if aliases else None
+        return replacement(value, span["code"], treatment, alias)
 
     return df.withColumn(out, splice(F.coalesce(F.col(text), F.lit("")), F.col(spans), of))
 
@@ -85,15 +85,8 @@ def apply_findings(blocks: DataFrame, found: DataFrame, treatment: str, aliases:
     listed = todo.groupBy("doc_id", "location").agg(F.array_sort(F.collect_list(F.struct("start", "end", new.alias("new")))).alias("_todo"))
     joined = blocks.join(listed, ["doc_id", "location"], "left")
 
-    def spliced(todo: Column) -> Column:
-        return F.aggregate(
-            todo,
-            F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-            lambda acc, s: F.struct(F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["new"]).alias("done"), s["end"].alias("at")),
-            lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])),
-        )
-
-    return joined.withColumn("text", F.when(F.col("_todo").isNull(), F.col("text")).otherwise(spliced(F.col("_todo")))).select(*blocks.columns)
+    done = splice(F.coalesce(F.col("text"), F.lit("")), F.coalesce("_todo", F.array().cast("array<struct<start:int,end:int,new:string>>")), lambda value, span: span["new"])
+    return joined.withColumn("text", F.when(F.col("_todo").isNull(), F.col("text")).otherwise(done)).select(*blocks.columns)
 
 
 def stats(found: DataFrame, keys: list[str]) -> DataFrame:
