@@ -29,7 +29,7 @@ MANY = 64
 
 
 def scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """Running results, from 0 on, of a function over an array of ints that has some.
+    """Running results, from 0 on, of a function over an array of ints that has some; a variable of let(), as it is read by place.
 
     A fold over stretches, each folded from where the last one ended.
     """
@@ -99,7 +99,7 @@ def clusters(spans: Column) -> Column:
     """
 
     def of(s: Column) -> Column:
-        reach = scan(F.transform(s, lambda x: x["end"]), F.greatest)
+        reach = let(F.transform(s, lambda x: x["end"]), lambda ends: scan(ends, F.greatest))
 
         def cut(r: Column) -> Column:
             begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i]["start"] >= r[F.greatest(i - 1, F.lit(0))]))
