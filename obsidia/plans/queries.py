@@ -12,13 +12,12 @@ from ..functions.normalize import LOOK_ALIKES, canonical, norm, norm_soft, strip
 from ..functions.patterns import DETECTORS
 from ..functions.spans import detector_spans, matches
 from ..operators import cells as cell_rules
-from ..operators import geometry, jobs, paged, workflow
+from ..operators import geometry, jobs, workflow
 from ..operators.detect import TEXT_CODES, detect, findings
-from ..operators.propagate import propagate
 from ..operators.pseudonyms import batch_aliases, persistent_aliases
-from ..operators.score import recall
 from ..operators.treat import anonymize, mask_partial, redact, treat_spans
 from ..operators.verify import leaks
+from . import forms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,19 +117,13 @@ def q_web(spark, sf_dir):
 
 
 def _register_codes() -> None:
-    for code in ("CUENTA_BANCARIA", "PASAPORTE", "FOLIO", "FECHA_NACIMIENTO", "TELEFONO", "PATENTE", "DIRECCION", "FECHA", "NOMBRE"):
+    for code in ("TELEFONO", "NOMBRE"):
         QUERIES[f"q_{code.lower()}"] = lambda spark, sf_dir, code=code: _values(spark, sf_dir, code)
 
 
 _register_codes()
 
 
-@_query()
-def q_detect(spark, sf_dir):
-    """All categories of every document: disjoint spans with offsets."""
-    return findings(detect(_t(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
-
-
 @_query()
 def q_counts_by_lang(spark, sf_dir):
     """Findings by language and category."""
@@ -376,12 +369,6 @@ def _audit_log(spark, sf_dir):
     )
 
 
-@_query()
-def q_audit_chain(spark, sf_dir):
-    """Events of each user chained by hash."""
-    return _audit_log(spark, sf_dir).select("chain", "id", "prev_hash", "hash")
-
-
 @_query("SELECT user_id AS chain, min(event_id) FILTER (event_id % 1000 = 7) AS broken_at, count(*) FILTER (event_id % 1000 = 7) = 0 AS ok FROM events GROUP BY user_id")
 def q_audit_verify(spark, sf_dir):
     """The first altered row of each chain, after the details of some rows were altered."""
@@ -454,14 +441,6 @@ def q_sheet_columns(spark, sf_dir):
     return cell_rules.column_findings(_sheet(spark, sf_dir), TEXT_CODES).drop("score")
 
 
-@_query()
-def q_propagate(spark, sf_dir):
-    """Found values at their other places, over the lines of every document."""
-    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text")).withColumn("location", F.concat(F.lit("l/"), "ord"))
-    found = findings(detect(lines, ["EMAIL", "IP", "TARJETA", "RUT", "TELEFONO"]), ["doc_id", "location"])
-    return propagate(lines, found)
-
-
 def _part_words(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("idx", "text"))
     x0 = (F.col("idx") % 3) * 60.0
@@ -489,26 +468,14 @@ def q_uncovered_words(spark, sf_dir):
     return geometry.uncovered_words(words, words.filter("idx % 2 = 0")).select("doc_id", "idx")
 
 
-@_query()
-def q_pages(spark, sf_dir):
-    """Findings by layout on pages of words."""
-    words = _part_words(spark, sf_dir)
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "x0", "y0", "x1", "y1"))).alias("w"))
-    word = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
-    pages = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"))).cast(word).alias("words"), F.lit(None).cast(word).alias("verification_words"))
-    return paged.read_documents(pages, TEXT_CODES).select("doc_id", "page", "entity_code", "text", "score")
-
-
-@_query()
-def q_recall(spark, sf_dir):
-    """Mail and network addresses found, against the strict patterns' hits as the expected ones."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    place = lambda df: findings(df, ["doc_id"]).select("doc_id", F.col("start").alias("ord"), "entity_code", "text")
-    return recall(place(detect(docs, ["IP", "EMAIL"])), place(detect(docs, TEXT_CODES)).filter(F.col("entity_code").isin("IP", "EMAIL")))
-
-
-@_query("SELECT count(*) = 0 AS same FROM (SELECT * FROM nation EXCEPT ALL SELECT * FROM nation)")
+@_query("SELECT case_, (SELECT count(*) FROM nation) = n AS same FROM (VALUES ('copy', (SELECT count(*) FROM nation)), ('twice a row', (SELECT count(*) + 1 FROM nation)), ('one changed', -1)) v(case_, n)")
 def q_same_rows(spark, sf_dir):
-    """Is a copied table the same multiset of rows?"""
+    """Is a table the same multiset of rows as its copy, as one with a row twice, as one with a row changed?"""
     nation = _t(spark, sf_dir, "nation")
-    return spark.createDataFrame([(workflow.same_rows(nation, nation.repartition(3)),)], "same boolean")
+    one = F.col("n_nationkey") == 1
+    others = {"copy": nation.repartition(3), "twice a row": nation.unionAll(nation.filter(one)), "one changed": nation.withColumn("n_name", F.when(one, "x").otherwise(F.col("n_name")))}
+    return spark.createDataFrame([(k, workflow.same_rows(nation, v)) for k, v in others.items()], "case_ string, same boolean")
+
+
+QUERIES.update(forms.QUERIES)
+SQL.update(forms.SQL)
