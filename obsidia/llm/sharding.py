@@ -28,9 +28,9 @@ def contiguous_shards(df: DataFrame, order: list[str], size: str, shards: int, g
 
     group: the first of the order columns; rows that share its value and are, in
     all, at most WHOLE_GROUP of a target go by the middle byte of the group, so
-    cuts move to its edges. Only such groups, and of these only those of several
-    rows, are joined back to their rows, so the join has no hot key. Larger
-    groups are cut like other rows. Rows with a null group are no group.
+    cuts move to its edges. Rows of larger groups, shards / WHOLE_GROUP groups
+    at most, are cut like single rows and stay out of the join by group, so it
+    has no hot key. Rows with a null group are no group.
 
     Null order keys sort first; equal rows are told apart by their place in the
     input; an empty table gives an empty table; fewer rows than shards leave
@@ -44,9 +44,15 @@ def contiguous_shards(df: DataFrame, order: list[str], size: str, shards: int, g
     middle = F.col(f"before_{size}") * 2 + F.col(size)
     if group is not None:
         sums = materialise(sums)
-        whole = sums.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"), F.min(f"before_{size}").alias("_first"), F.sum(size).alias("_size"))
-        whole = whole.filter((F.col("_rows") > 1) & (F.col("_size") * shards <= WHOLE_GROUP * total)).select("_group", (F.col("_first") * 2 + F.col("_size")).alias("_middle"))
-        sums = sums.join(whole, F.col(group) == F.col("_group"), "left")
+        groups = sums.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"), F.min(f"before_{size}").alias("_first"), F.sum(size).alias("_size"))
+        groups = materialise(groups.filter("_rows > 1 AND _group IS NOT NULL"))
+        fits = F.col("_size") * shards <= WHOLE_GROUP * total
+        same = F.col(group) == F.col("_group")
+        # shards / WHOLE_GROUP groups at most are larger, so these may be broadcast
+        large = F.broadcast(groups.filter(~fits).select("_group"))
+        whole = groups.filter(fits).select("_group", (F.col("_first") * 2 + F.col("_size")).alias("_middle"))
+        rest = sums.join(large, same, "left_anti").join(whole, same, "left").drop("_group")
+        sums = rest.unionByName(sums.join(large, same, "left_semi").withColumn("_middle", F.lit(None).cast("long")))
         middle = F.coalesce("_middle", middle)
     cut = sums.withColumn("shard", F.least(F.floor(middle * shards / (2 * total)), F.lit(shards - 1)).cast("int"))
     starts = cut.groupBy("shard").agg(F.min("before_one").alias("first"))
