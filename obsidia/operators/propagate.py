@@ -41,16 +41,18 @@ def propagate(blocks: DataFrame, found: DataFrame) -> DataFrame:
     first one's category counts. Names stand alone, others may stand inside
     words; no value is sought across two blocks; what overlaps a finding is none.
 
-    Values are joined to the blocks that hold them, by document, in Spark; only
-    such blocks, each with its own values and findings, go to Python for offsets.
+    A document's values meet its blocks as one list, so a block stays one row;
+    there the list is cut to what the block holds. Only blocks that hold some,
+    each with its own values and findings, go to Python for offsets.
     """
     first = found.join(blocks.select("doc_id", "location", F.col("ord").alias("_ord")), ["doc_id", "location"])
     value = F.btrim("text", F.lit(" \t\n\r\x0b\f"))
     kept = first.withColumn("_value", F.lower(value)).filter((F.length(value) >= SHORTEST) & (F.col("entity_code") != "FIRMA") & ~value.startswith("("))
     order = F.struct("_ord", "start", F.col("entity_code").alias("code"))
     values = kept.groupBy("doc_id", "_value").agg(F.min(order).alias("_first"))
-    held = blocks.join(values, "doc_id").filter(F.lower("text").contains(F.col("_value")))
-    sought = held.groupBy("doc_id", "ord", "location").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct("_first", "_value"))).alias("_values"))
+    lists = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_first", "_value"))).alias("_all"))
+    low = blocks.select("doc_id", "location", "text").join(lists, "doc_id").withColumn("_low", F.lower("text"))
+    sought = low.withColumn("_values", F.filter("_all", lambda v: F.contains(F.col("_low"), v["_value"]))).filter(F.size("_values") > 0).drop("_all", "_low")
     taken = found.groupBy("doc_id", "location").agg(F.collect_list(F.struct("start", "end")).alias("_taken"))
     work = sought.join(taken, ["doc_id", "location"], "left").select(
         "doc_id", "location", "text",

@@ -83,42 +83,68 @@ def _relations(archive: zipfile.ZipFile, part: str) -> dict[str, str]:
     return {r.get("Id"): (r.get("Target") if r.get("Target", "").startswith("/") else f"{folder}/{r.get('Target')}").lstrip("/") for r in root.iter(f"{_RELS}Relationship")}
 
 
+#: Names of the parts of a section, in order.
+_SECTION_PARTS = {("header", "default"): "header", ("footer", "default"): "footer", ("header", "first"): "first_header", ("footer", "first"): "first_footer", ("header", "even"): "even_header", ("footer", "even"): "even_footer"}
+
+
+def docx_parts(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(prefix of locations, file) of a docx: the body, then each section's headers and footers, which sections may share."""
+    main = ET.fromstring(archive.read("word/document.xml"))
+    relations = _relations(archive, "word/document.xml")
+    parts = [("body", "word/document.xml")]
+    for k, section in enumerate(main.iter(f"{_W}sectPr")):
+        own = {(kind, r.get(f"{_W}type", "default")): relations.get(r.get(f"{_R}id")) for kind in ("header", "footer") for r in section.iter(f"{_W}{kind}Reference")}
+        parts += [(f"{name}/{k}", own[key]) for key, name in _SECTION_PARTS.items() if own.get(key)]
+    return parts
+
+
+def docx_paragraphs(part: bytes) -> tuple[ET.Element, list[list[ET.Element]]]:
+    """The tree of a part and the text elements of each of its paragraphs."""
+    root = ET.fromstring(part)
+    body = root.find(f"{_W}body")
+    return root, [list(p.iter(f"{_W}t")) for p in (root if body is None else body).iter(f"{_W}p")]
+
+
 def docx_blocks(content: bytes):
     """(location, text) of paragraphs with text: body, then each section's headers and footers."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        main = ET.fromstring(archive.read("word/document.xml"))
-        relations = _relations(archive, "word/document.xml")
-        parts = [("body", main.find(f"{_W}body"))]
-        names = {("header", "default"): "header", ("footer", "default"): "footer", ("header", "first"): "first_header", ("footer", "first"): "first_footer", ("header", "even"): "even_header", ("footer", "even"): "even_footer"}
-        for k, section in enumerate(main.iter(f"{_W}sectPr")):
-            own = {(kind, r.get(f"{_W}type", "default")): relations.get(r.get(f"{_R}id")) for kind in ("header", "footer") for r in section.iter(f"{_W}{kind}Reference")}
-            parts += [(f"{name}/{k}", ET.fromstring(archive.read(own[key]))) for key, name in names.items() if own.get(key)]
-        for prefix, root in parts:
-            for i, paragraph in enumerate(root.iter(f"{_W}p")):
-                runs = [t.text or "" for t in paragraph.iter(f"{_W}t")]
+        for prefix, name in docx_parts(archive):
+            for i, runs in enumerate(docx_paragraphs(archive.read(name))[1]):
                 if runs:
-                    yield f"{prefix}/p/{i}", "".join(runs)
+                    yield f"{prefix}/p/{i}", "".join(t.text or "" for t in runs)
+
+
+def xlsx_sheets(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, file) of the sheets of an xlsx, in order."""
+    relations = _relations(archive, "xl/workbook.xml")
+    return [(sheet.get("name"), relations[sheet.get(f"{_R}id")]) for sheet in ET.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+
+
+def shared_strings(archive: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in archive.namelist():
+        return []
+    return ["".join(t.text or "" for t in item.iter(f"{_S}t")) for item in ET.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
+
+
+def cell_text(cell: ET.Element, shared: list[str]) -> str | None:
+    """The string that a cell holds; None for numbers, dates and the like."""
+    value, kind = cell.findtext(f"{_S}v"), cell.get("t")
+    if kind == "s" and value is not None:
+        return shared[int(value)]
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{_S}t"))
+    return value if kind == "str" else None
 
 
 def xlsx_cells(content: bytes):
     """(Sheet!A1, text) of cells with text that is not blank, in order of rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        shared = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{_S}t")) for item in ET.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        relations = _relations(archive, "xl/workbook.xml")
-        for sheet in ET.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-            for cell in ET.fromstring(archive.read(relations[sheet.get(f"{_R}id")])).iter(f"{_S}c"):
-                value = cell.findtext(f"{_S}v")
-                kind = cell.get("t")
-                if kind == "s" and value is not None:
-                    text = shared[int(value)]
-                elif kind == "inlineStr":
-                    text = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
-                else:
-                    text = value if kind == "str" else None
+        shared = shared_strings(archive)
+        for name, part in xlsx_sheets(archive):
+            for cell in ET.fromstring(archive.read(part)).iter(f"{_S}c"):
+                text = cell_text(cell, shared)
                 if text and text.strip():
-                    yield f"{sheet.get('name')}!{cell.get('r')}", text
+                    yield f"{name}!{cell.get('r')}", text
 
 
 def archive_entries(files: DataFrame, max_bytes: int = MAX_ARCHIVE, max_file: int = MAX_FILE) -> DataFrame:

@@ -8,18 +8,24 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows that a task hands on at once.
 _STEP = 10_000
 
 
-def table_names(content: bytes) -> list[str]:
-    with tempfile.NamedTemporaryFile(suffix=".db") as f:
-        f.write(content)
-        f.flush()
-        with sqlite3.connect(f"file:{f.name}?mode=ro", uri=True) as db:
-            return sorted(r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'"))
+def table_names(spark: SparkSession, path: str) -> set[str]:
+    """Names of a file's tables, read in the task that reads the file."""
+
+    def run(batches):
+        for rows in batches:
+            for content in rows["content"]:
+                with tempfile.NamedTemporaryFile(suffix=".db") as f:
+                    f.write(content)
+                    f.flush()
+                    with sqlite3.connect(f"file:{f.name}?mode=ro", uri=True) as db:
+                        yield pd.DataFrame(db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'").fetchall(), columns=["name"])
+
+    return {r.name for r in spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string").collect()}
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
@@ -43,6 +49,5 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> Data
 
 def check_tables(spark: SparkSession, path: str, wanted: Iterable[str]) -> tuple[set[str], set[str]]:
     """Tables that are missing from the file, and that nobody expects."""
-    content = spark.read.format("binaryFile").load(path).select(F.col("content")).first()[0]
-    have = set(table_names(bytes(content)))
+    have = table_names(spark, path)
     return set(wanted) - have, have - set(wanted)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from obsidia.functions.names import FIRST_NAMES, SURNAMES, NameFinder
 from obsidia.operators import geometry as g
 from obsidia.operators import layout, paged
+from obsidia.operators.detect import detect, findings
 from obsidia.sources import files, sinks
 
 
@@ -120,7 +121,7 @@ def archive(parts):
     return out.getvalue()
 
 
-DOCX = archive(
+DOCX_PARTS = (
     {
         "word/document.xml": f'<w:document {W}><w:body><w:p><w:r><w:t>Rut 12.3</w:t></w:r><w:r><w:t>45.678-5 fin</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>dos</w:t></w:r></w:p><w:sectPr><w:headerReference w:type="default" r:id="r1"/></w:sectPr></w:body></w:document>',
         "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>cabecera</w:t></w:r></w:p></w:hdr>",
@@ -128,8 +129,9 @@ DOCX = archive(
         "docProps/core.xml": "<p><dc:creator>Ana</dc:creator><dc:title></dc:title></p>",
     }
 )
+DOCX = archive(DOCX_PARTS)
 S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-XLSX = archive(
+XLSX_PARTS = (
     {
         "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="Hoja" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
@@ -137,6 +139,7 @@ XLSX = archive(
         "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><v>5</v></c></row><row><c r="A2" t="inlineStr"><is><t>77-1</t></is></c><c r="B2" t="inlineStr"><is><t> </t></is></c></row></sheetData></worksheet>',
     }
 )
+XLSX = archive(XLSX_PARTS)
 
 
 def test_files(spark, tmp_path):
@@ -161,6 +164,39 @@ def test_files(spark, tmp_path):
     assert {(r.name, r.value) for r in sinks.docx_metadata(read.filter("name = 'c.docx'")).collect()} == {("dc:creator", "Ana"), ("dc:title", "")}
 
 
+def test_treated_office_files_hold_nothing_of_what_was_replaced(spark, tmp_path):
+    """Body, a header that two sections share, shared and inline strings, properties: written, read back, searched."""
+    two = DOCX_PARTS | {
+        "word/document.xml": f'<w:document {W}><w:body><w:p><w:r><w:t>Rut 12.3</w:t></w:r><w:r><w:t>45.678-5 fin</w:t></w:r></w:p><w:p><w:pPr><w:sectPr><w:headerReference w:type="default" r:id="r1"/></w:sectPr></w:pPr></w:p><w:sectPr><w:headerReference w:type="default" r:id="r1"/></w:sectPr></w:body></w:document>',
+        "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>de ana@b</w:t></w:r><w:r><w:t>.cl hoy</w:t></w:r></w:p></w:hdr>",
+        "docProps/app.xml": "<Properties><Company>Ana SpA</Company><Manager>Ana</Manager><Pages>1</Pages></Properties>",
+    }
+    sheet = XLSX_PARTS | {"xl/sharedStrings.xml": f"<sst {S}><si><t>ana@b.cl</t></si><si><t>Folio</t></si></sst>", "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row><c r="A1" t="s"><v>1</v></c><c r="B1"><v>5</v></c></row><row><c r="A2" t="s"><v>0</v></c><c r="B2" t="inlineStr"><is><t>Rut 12.345.678-5</t></is></c></row></sheetData></worksheet>'}
+    for name, data in {"a.docx": archive(two), "b.xlsx": archive(sheet), "c.xlsx": b"broken"}.items():
+        (tmp_path / name).write_bytes(data)
+    read = files.read_files(spark, str(tmp_path))
+    blocks = files.text_blocks(read).filter("error_code IS NULL")
+    found = findings(detect(blocks, ["RUT", "EMAIL"]), ["path", "location"]).withColumn("new", F.concat(F.lit("["), "entity_code", F.lit("]")))
+    done = sinks.treated_files(read, found.select("path", "location", "start", "end", "new"))
+    rows = {r.path[-6:]: r for r in done.collect()}
+    assert rows["c.xlsx"].error_code == "CORRUPT_FILE" and rows["c.xlsx"].content is None
+    assert dict(files.docx_blocks(bytes(rows["a.docx"].content))) == {"body/p/0": "Rut [RUT] fin", "header/0/p/0": "de [EMAIL] hoy", "header/1/p/0": "de [EMAIL] hoy"}
+    assert dict(files.xlsx_cells(bytes(rows["b.xlsx"].content))) == {"Hoja!A1": "Folio", "Hoja!A2": "[EMAIL]", "Hoja!B2": "Rut [RUT]"}
+    for r in (rows["a.docx"], rows["b.xlsx"]):
+        with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+            assert not any(word in z.read(n) for n in z.namelist() for word in (b"ana@b", b"45.678", b"Ana", b"mailto"))
+
+
+def test_batch_archives(spark):
+    docs = spark.createDataFrame([(1, 7, "a.txt", "protected"), (2, 7, "a.txt", "protected_with_warnings"), (3, 7, "b", "failed"), (4, 8, "c.txt", "protected")], "doc_id int, batch_id int, name string, status string")
+    contents = spark.createDataFrame([(i, bytes([i])) for i in range(1, 5)], "doc_id int, content binary")
+    got = {}
+    for r in sinks.batch_archives(docs, contents).collect():
+        with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+            got[r.batch_id] = {n: z.read(n) for n in z.namelist()}
+    assert got == {7: {"a.txt": b"\x01", "a-2.txt": b"\x02", sinks.NOTICE: b"a-2.txt\n"}, 8: {"c.txt": b"\x04"}}
+
+
 def test_reports_and_texts(spark, tmp_path):
     blocks = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "doc_id int, ord int, text string")
     sinks.write_texts(blocks, str(tmp_path / "t"))
