@@ -17,7 +17,7 @@ from ..operators.detect import TEXT_CODES, detect, findings
 from ..operators.pseudonyms import batch_aliases, persistent_aliases
 from ..operators.treat import anonymize, mask_partial, redact, treat_spans
 from ..operators.verify import leaks
-from . import forms
+from . import forms, reviews
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -477,5 +477,5 @@ def q_same_rows(spark, sf_dir):
     return spark.createDataFrame([(k, workflow.same_rows(nation, v)) for k, v in others.items()], "case_ string, same boolean")
 
 
-QUERIES.update(forms.QUERIES)
-SQL.update(forms.SQL)
+QUERIES.update(forms.QUERIES | reviews.QUERIES)
+SQL.update(forms.SQL | reviews.SQL)
