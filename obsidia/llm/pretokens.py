@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,6 +18,12 @@ _ODD_CHUNK = re.compile(f"[^{_SPACE}]*[^{_SPACE}\x21-\x7e{_LETTERS}][^{_SPACE}]*
 _LOWER = _LETTERS.replace("A-Z", "").replace("\xc0-\xd6\xd8-\xf6\xf8-\xff", "\xdf-\xf6\xf8-\xff")
 #: Fixed value: the split pattern of the vocabulary, for these letters: endings, letters, one digit, anything else.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^{_SPACE}{_LOWER}0-9]+")
+#: How a vocabulary's file says that it composes, lower-cases and splits as this module does.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 #: A pre-token longer than this isn't kept in any dictionary.
 LONGEST = 64
 
@@ -51,24 +58,35 @@ def splitter(specials: list[str]) -> Callable[[str], list[str]]:
     return split
 
 
+def splits_alike(path: str) -> bool:
+    """Does a vocabulary compose, lower-case and split as splitter() does?"""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = lambda name, kind: (said.get(name) or {}).get(kind)
+    return said.get("model", {}).get("type") == "BPE" and steps("normalizer", "normalizers") == _NORMALIZER and steps("pre_tokenizer", "pretokenizers") == _PRE_TOKENIZER
+
+
 class Pieces:
     """Ids of pre-tokens, each computed once while the dictionary has room.
 
     One a worker process and vocabulary (see pieces()); the dictionary starts
-    anew beyond `room` entries, so its memory is bounded.
+    anew beyond `room` entries, so its memory is bounded. A vocabulary that
+    treats texts in another way than splitter() gets whole texts as its pieces,
+    which the tokenizer itself then cuts: slower, and as right.
     """
 
     def __init__(self, path: str, room: int = 1 << 19):
         self.tokenizer = Tokenizer.from_file(path)
         specials = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = splitter(specials)
+        self.alike = splits_alike(path)
+        self.split = splitter(specials) if self.alike else lambda text: [text] if text else []
         self._known = _Memo(lambda piece: _pack(self.ids(piece)), room)
         self._plain = re.compile(f"[\x21-\x7e{_LOWER}]+")
         self._bytes = _byte_letters()
 
     def ids(self, piece: str) -> list[int]:
-        """The ids of one piece of split()."""
-        if self._plain.fullmatch(piece) and "<|" not in piece and _SPLIT.fullmatch(piece):
+        """The ids of one piece of split(), without begin, end or padding."""
+        if self.alike and self._plain.fullmatch(piece) and "<|" not in piece and _SPLIT.fullmatch(piece):
             return [t.id for t in self.tokenizer.model.tokenize("".join(map(self._bytes.__getitem__, piece.encode())))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 

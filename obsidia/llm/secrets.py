@@ -132,7 +132,9 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", no
     """doc_id and spans array<struct<kind, start, end>> of every whole text (null: none).
 
     One pass without a shuffle; each text is scanned alone, so repeated rows and
-    null ids make no difference.
+    null ids make no difference, and an empty table gives an empty one. A novel
+    string follows a sensitive word and at most 24 word characters, and its
+    surroundings are the AROUND code points on either side.
     """
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

@@ -62,8 +62,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     shuffle on the pre-token, in which no key is frequent, and summed by row.
 
     Null text: empty, 0 bytes and tokens. Rows are told apart by their place in
-    the input, so repeated rows and null ids get a row each. docs is read twice:
-    it should be a table.
+    the input, so repeated rows and null ids get a row each. An empty table
+    gives an empty one. docs is read twice: it should be a table.
     """
     found = materialise(pretoken_counts(docs, text, path))
     common = found.orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces").toArrow()

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from obsidia.llm import pretokens
 from obsidia.llm.packing import CAPACITY, END, pack_documents, packing_plan, plan_slots
 from obsidia.llm.pretokens import pieces
 from obsidia.llm.queries import op1_token_counts, op10_best_fit_packing
@@ -114,3 +116,18 @@ def test_plans_of_many_lengths_stay_near_the_bound():
     available = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
     used = sum(n for _, n in packing_plan(available))
     assert used <= 1.002 * -(-int(lengths.sum()) // CAPACITY)
+
+
+def test_vocabularies_that_treat_texts_otherwise(tmp_path):
+    """Another normaliser or pattern: ids are those of the library all the same."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    assert pretokens.splits_alike(public_tokenizers.path("word_bpe_49k.json"))
+    said["normalizer"]["normalizers"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said), encoding="utf-8")
+    made, library = pretokens.Pieces(str(path)), Tokenizer.from_file(str(path))
+    assert not made.alike
+    for text in ("The Quick brown FOX, 3.14 and <|endoftext|> more", "", "ÉCOLE école " * 50):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert made.packed(text) == b"".join(i.to_bytes(4, "little") for i in ids)
