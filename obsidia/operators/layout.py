@@ -461,6 +461,38 @@ def has_reference(words: list[Word], sequences: list[list[str]]) -> bool:
     return any(s and f" {' '.join(s)} " in text for s in sequences)
 
 
+def reread_header(words: list[Word], expected: list[str]) -> list[Word]:
+    """The words of a second reading that are a configured header, one after the other; none if it isn't there."""
+    tokens = _tokens(words)
+    at = next((i for i in range(len(tokens) - len(expected) + 1) if tokens[i : i + len(expected)] == expected), None)
+    return words[at : at + len(expected)] if expected and at is not None else []
+
+
+def reread_paragraphs(readings: list[list[Word]], rules: list[dict], groups: list[list[str]]) -> list[Word]:
+    """Of further readings of a gap, the words that are configured sequences, corrected as configured.
+
+    rules: tokens, field, corrections (place: text). A field is taken once, from
+    the first reading that has it; of rules that fit at a place the first counts.
+    Readings end as soon as all fields of a group are found.
+    """
+    found: dict[str, list[Word]] = {}
+    for words in readings:
+        tokens = _tokens(words)
+        for start in range(len(tokens)):
+            rule = next((r for r in rules if r["tokens"] and tokens[start : start + len(r["tokens"])] == list(r["tokens"])), None)
+            if rule and rule["field"] not in found:
+                corrected = {int(k): v for k, v in (rule.get("corrections") or {}).items()}
+                own = words[start : start + len(rule["tokens"])]
+                found[rule["field"]] = [w._replace(text=corrected.get(k, w.text)) for k, w in enumerate(own)]
+        if any(set(g) <= found.keys() for g in groups):
+            break
+    return [w for own in found.values() for w in own]
+
+
+def _tokens(words: list[Word]) -> list[str]:
+    return [plain_strip(w.text).strip(PUNCTUATION) for w in words]
+
+
 def abbreviated_names(pages: list[tuple[int, float, list[Word]]], found: list[Place], first_names: frozenset[str]) -> list[Place]:
     """Further places of three-part names that two pages hold, where the first name is cut short.
 

@@ -97,6 +97,11 @@ def retention(documents: DataFrame, now: Column, days_original: int = 30, days_p
     return aged.select("doc_id", (F.col("_age") > days_original).alias("drop_original"), (F.col("_age") > days_protected).alias("drop_protected"))
 
 
+def stale(files: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """Temporary files (path, modificationTime) older than an hour."""
+    return files.filter(F.unix_timestamp(now) - F.unix_timestamp("modificationTime") > seconds)
+
+
 def overlay(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """table with the rows of changes put over it: non-null columns replace, unknown keys are added."""
     own = [c for c in table.columns if c not in keys]
@@ -149,27 +154,28 @@ def chain_events(events: DataFrame, chain: str = "chain") -> DataFrame:
     """prev_hash and hash of each chain's events in order of id.
 
     Each hash needs the last, so a chain is sequential by nature: a fold in one
-    task over rows that stream through it, not gathered.
+    task over rows that stream through it, not gathered. What a row says is put
+    together in Spark; the fold itself hashes one string a row, so a chain's
+    rate is that of one task, and chains are spread over all.
     """
     import hashlib
 
-    schema = f"{chain} {dict(events.dtypes)[chain]}, id long, ts string, username string, ip string, event string, details string, prev_hash string, hash string"
+    columns = [chain, "id", "ts", "username", "ip", "event", "details"]
+    text = [F.col(c).cast("string").alias(c) for c in columns[2:]]
+    said = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns[2:]])
+    ordered = events.select(F.col(chain), F.col("id").cast("long").alias("id"), *text, said.alias("_said"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in ordered.dtypes if c != "_said") + ", prev_hash string, hash string"
 
     def run(batches):
         last, prev = None, NO_HASH
         for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                if last is None or r[0] != last:
-                    last, prev = r[0], NO_HASH
-                value = "|".join([prev, *["None" if x is None else str(x) for x in r[2:7]]])
-                digest = hashlib.sha256(value.encode()).hexdigest()
-                out.append((prev, digest))
-                prev = digest
-            yield rows.assign(prev_hash=[p for p, _ in out], hash=[h for _, h in out])
+            links = []
+            for own, line in zip(rows[chain], rows["_said"], strict=True):
+                prev = NO_HASH if last is None or own != last else prev
+                links.append((prev, hashlib.sha256(f"{prev}|{line}".encode()).hexdigest()))
+                last, prev = own, links[-1][1]
+            yield rows.drop(columns="_said").assign(prev_hash=[p for p, _ in links], hash=[h for _, h in links])
 
-    columns = [chain, "id", "ts", "username", "ip", "event", "details"]
-    ordered = events.select(F.col(chain), F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns[2:]])
     return ordered.repartition(chain).sortWithinPartitions(chain, "id").mapInPandas(run, schema)
 
 

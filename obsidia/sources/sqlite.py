@@ -9,6 +9,8 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.workflow import audit_breaks
+
 #: Rows that a task hands on at once.
 _STEP = 10_000
 
@@ -51,3 +53,13 @@ def check_tables(spark: SparkSession, path: str, wanted: Iterable[str]) -> tuple
     """Tables that are missing from the file, and that nobody expects."""
     have = table_names(spark, path)
     return set(wanted) - have, have - set(wanted)
+
+
+def import_problems(spark: SparkSession, path: str, wanted: Iterable[str], audit: str, audit_schema: str) -> list[str]:
+    """Why a file can't be imported: tables that are missing or unexpected, or an audit table whose chain is broken; [] if it can."""
+    missing, more = check_tables(spark, path, wanted)
+    out = [f"missing {t}" for t in sorted(missing)] + [f"unexpected {t}" for t in sorted(more)]
+    if audit not in missing:
+        broken = audit_breaks(read_sqlite(spark, path, audit, audit_schema)).first()
+        out += [] if broken.ok else [f"{audit} broken at {broken.broken_at}"]
+    return out

@@ -67,3 +67,12 @@ def detect_stream(documents: DataFrame, codes=None) -> DataFrame:
 def audit_sink(events: DataFrame, path: str, checkpoint: str):
     """Append events to an audit table, exactly once; rows are never rewritten."""
     return events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+
+
+#: Seconds between two looks at the queue.
+POLL_SECONDS = 2
+
+
+def poll(states: DataFrame, handle, checkpoint: str, seconds: float = POLL_SECONDS):
+    """Start handling a stream of item states: every few seconds handle(batch, number) gets what changed, at least once each."""
+    return states.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

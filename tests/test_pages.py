@@ -80,6 +80,17 @@ def test_repeated_and_configured_names():
     assert [(n, f.text, f.score) for n, f in found] == [(3, "MIG ARAVENA ANGULO", 0.82)]
 
 
+def test_sequences_of_a_second_reading():
+    words = line("Oficio Ordinario, Número 12 Señor Juán Sotto Vega vive en Calle Uno")
+    assert [w.text for w in layout.reread_header(words, ["oficio", "ordinario"])] == ["Oficio", "Ordinario,"]
+    assert layout.reread_header(words, ["otro"]) == [] == layout.reread_header(words, [])
+    rules = [{"tokens": ["juan", "sotto", "vega"], "field": "name", "corrections": {"1": "Soto"}}, {"tokens": ["calle", "uno"], "field": "address", "corrections": {}}]
+    first, second = line("nada Juán Sotto Vega"), line("Juan Sotto Vega y Calle Uno. Calle Uno")
+    got = layout.reread_paragraphs([first, second, line("Calle Uno")], rules, [["name", "address"]])
+    assert [w.text for w in got] == ["Juán", "Soto", "Vega", "Calle", "Uno."] and got[0].box == first[1].box
+    assert layout.reread_paragraphs([first, second], rules, [["name"]]) == [first[1], first[2]._replace(text="Soto"), first[3]]
+
+
 def test_pages_as_tables(spark):
     word = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
     rows = [(1, 1, 2000.0, 2400.0, [tuple([w.text, *map(float, w.box)]) for w in line("Sr. Felipe Muñoz consulta; correo a@b.cl")], None), (1, 2, 2000.0, 2400.0, [tuple([w.text, *map(float, w.box)]) for w in line("vino FELIPE MUÑOZ ayer")], None), (2, 1, 10.0, 10.0, [], None), (3, 1, 10.0, 10.0, None, None)]

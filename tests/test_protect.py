@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsidia.catalog import TREATMENTS
-from obsidia.operators.workflow import same_rows
+from obsidia.operators.workflow import chain_events, same_rows
 from obsidia.plans.protect import protect, register
-from obsidia.sources.sqlite import check_tables, read_sqlite
+from obsidia.sources.sqlite import check_tables, import_problems, read_sqlite
+from obsidia.streaming.queue import item_states, poll
 
 BLOCKS = [
     (1, 0, "body/p/0", "Sr. Juan Pérez, RUT 12.345.678-5, correo a@b.cl, folio 2020-771"),
@@ -53,3 +54,29 @@ def test_sqlite_import(spark, tmp_path):
     assert same_rows(users, spark.createDataFrame([(2, None), (1, "a")], "id long, name string"))
     assert check_tables(spark, path, ["users", "jobs"]) == ({"jobs"}, set())
     assert users.filter(F.col("name").isNull()).count() == 1
+
+
+def test_import_problems(spark, tmp_path):
+    """A whole audit chain may come in; one with an altered row, or a file with other tables, may not."""
+    schema = "id long, ts string, username string, ip string, event string, details string, prev_hash string, hash string"
+    events = spark.createDataFrame([(0, i, f"2024-01-0{i}", "ana", None, "login", "{}") for i in (1, 2, 3)], "chain int, id long, ts string, username string, ip string, event string, details string")
+    rows = [tuple(r)[1:] for r in chain_events(events).orderBy("id").collect()]
+    for name, alter in (("whole", None), ("altered", 2)):
+        path = str(tmp_path / f"{name}.db")
+        with sqlite3.connect(path) as db:
+            db.execute("CREATE TABLE audit_log (id INTEGER, ts TEXT, username TEXT, ip TEXT, event TEXT, details TEXT, prev_hash TEXT, hash TEXT)")
+            db.executemany("INSERT INTO audit_log VALUES (?, ?, ?, ?, ?, ?, ?, ?)", [(*r[:2], "eva", *r[3:]) if r[0] == alter else r for r in rows])
+        found = import_problems(spark, path, ["audit_log"], "audit_log", schema)
+        assert found == ([] if alter is None else ["audit_log broken at 2"])
+    assert import_problems(spark, path, ["users"], "users", schema) == ["missing users", "unexpected audit_log"]
+
+
+def test_polling_a_queue(spark, tmp_path):
+    events = [(1, "submit", 1.0), (1, "claim", 2.0), (2, "submit", 1.0), (1, "done", 3.0)]
+    spark.createDataFrame(events, "item_id long, event string, at double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("item_id long, event string, at double").parquet(str(tmp_path / "in"))
+    seen = {}
+    query = poll(item_states(stream), lambda batch, n: seen.update({r.item_id: r.status for r in batch.collect()}), str(tmp_path / "check"), 0.2)
+    query.processAllAvailable()
+    query.stop()
+    assert seen == {1: "done", 2: "queued"}
