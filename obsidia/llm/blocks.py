@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, partitions
 
 #: Members of a bucket that one task holds from either side.
-BLOCK = 512
+BLOCK = 256
 
 
 def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK, buckets: DataFrame | None = None) -> DataFrame:
