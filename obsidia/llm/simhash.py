@@ -250,7 +250,8 @@ def one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) ->
     """
     rows = members.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("rows"))
     rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")))
-    first = rows.groupBy("component").agg(F.min("place").alias("first"))
+    # a table, so that Spark may broadcast it or split the rows of a large component
+    first = materialise(rows.groupBy("component").agg(F.min("place").alias("first")))
     judged = rows.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("place") == F.col("first")).alias("_stays"), (F.col("rows") > 1).alias("_several"))
     decided = broadcast_if_small(judged.filter(~F.col("_stays") | F.col("_several")))
     if decided is None:
