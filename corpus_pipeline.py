@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsidia.llm.common import materialise, sweep, written
+from obsidia.llm.common import materialise, small_batches, sweep, written
 from obsidia.llm.lines import drop_site_lines
 from obsidia.llm.near import one_of_each_near_copy
 from obsidia.llm.mixing import mix_documents
@@ -39,7 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 or more of its five-word shingles: that of the smallest id."""
-    return one_of_each_near_copy(docs)
+    with small_batches(spark):
+        return one_of_each_near_copy(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: a row for each piece of a document, with its place."""
-    return pack_documents(docs, public_tokenizers.path(VOCABULARY))
+    with small_batches(spark):
+        return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", packing)]

@@ -15,7 +15,7 @@ from .common import broadcast_if_small, partitions
 BLOCK = 256
 
 
-def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK, buckets: DataFrame | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, block: int = BLOCK, buckets: DataFrame | None = None, most_bytes: int | None = None, files: int | None = None) -> DataFrame:
     """Run compare over every pair of blocks of each bucket.
 
     rows: members of buckets, with the bucket's place in columns (tab, key) and
@@ -30,11 +30,13 @@ def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndar
 
     compare(table, group, side) gets whole groups, sorted by tab, with the
     number of each row's group and its side: rows of side 0 and 1 in a group
-    are to be compared across sides, rows of side 2 with each other.
+    are to be compared across sides, rows of side 2 with each other. It gets 16
+    blocks of rows at once, or fewer where these take more than most_bytes.
+    files: of the table of large buckets, see materialise().
     """
     n = partitions(rows.sparkSession)
     large = (rows if buckets is None else buckets).groupBy("tab", "key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
-    large = broadcast_if_small(large)
+    large = broadcast_if_small(large, files=files)
     if large is None:
         held = rows.select("*", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), F.lit(2).alias("_side"))
     else:
@@ -49,7 +51,7 @@ def in_blocks(rows: DataFrame, member: str, compare: Callable[[pa.Table, np.ndar
     dealt = held.repartition(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, keys, 16 * block):
+        for table in _whole_groups(batches, keys, 16 * block, most_bytes):
             group = np.cumsum(_starts(table, keys)) - 1
             several = np.bincount(group)[group] > 1
             if not several.all():
@@ -73,14 +75,14 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return out
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
-    """Tables of whole groups of sorted rows, of `least` rows or a little more."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int, most_bytes: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted rows, of `least` rows or most_bytes or a little more."""
     kept: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         kept.append(batch)
         rows += batch.num_rows
-        if rows >= least:
+        if rows >= least or most_bytes is not None and sum(b.nbytes for b in kept) >= most_bytes:
             table = pa.Table.from_batches(kept).combine_chunks()
             cut = int(np.flatnonzero(_starts(table, keys))[-1])
             if cut:

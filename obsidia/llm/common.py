@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from ..plans.tables import shared_dir
 
 #: Rows of a few longs that are broadcast at most, 100 MB or less; beyond that Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of whole texts or sets in a batch that goes to a Python worker, which may hold several such batches and what it makes of them.
+BATCH_BYTES = 4 << 20
 #: Characters that separate words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\f\r"
 #: The same as the inside of a Java character class.
@@ -21,13 +25,23 @@ BLANK_CLASS = r"\x20\x09-\x0D"
 _written: list[str] = []
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def few_files(spark: SparkSession) -> int:
+    """Files for a table of narrow rows: one for each core, which then writes once."""
+    return spark.sparkContext.defaultParallelism
+
+
+def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and return a reader of it.
 
     Cuts the lineage: lost executors repeat one task of a later stage and never
     what came before the table. The table stays until discard() or sweep().
+    files: deal the rows evenly to so many files at most, for narrow rows; else
+    each task writes its own. A file costs an executor more than a few rows do:
+    on local disks Hadoop starts a process for each permission that it sets.
     """
     spark = df.sparkSession
+    if files is not None:
+        df = df.repartition(files)
     path = f"{shared_dir(spark)}/obsidia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
@@ -61,9 +75,28 @@ def discard(df: DataFrame | None) -> None:
         _remove(df.sparkSession, path)
 
 
-def broadcast_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame | None:
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Tables written inside send Python workers batches of `most` bytes or a row more, however long texts are.
+
+    Spark's own limits are 10,000 rows and 64 MB, and a worker keeps the memory
+    of its largest batch for as long as it lives.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def broadcast_if_small(rows: DataFrame, most: int = BROADCAST_ROWS, files: int | None = None) -> DataFrame | None:
     """rows as a table, to be broadcast if they are counted to be `most` or fewer; None if there are none."""
-    rows = materialise(rows)
+    rows = materialise(rows, files)
     n = rows.count()
     if not n:
         discard(rows)

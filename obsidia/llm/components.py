@@ -23,18 +23,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.filter("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node reachable.
 
     edges: longs (u, v), without nulls; loops and repeats do no harm. Each round
     writes its edges to the shared folder and removes the last round's; rounds
     grow with the logarithm of the nodes. Hubs are reduced by partial minima and
     joined by joins that Spark may split. Only counts come to the driver.
+    files: of each round's table, see materialise().
     """
-    now = materialise(edges.select("u", "v").filter("u <> v").distinct())
+    now = materialise(edges.select("u", "v").filter("u <> v").distinct(), files)
     mark = None
     while True:
-        new = materialise(_small_star(_large_star(now)))
+        new = materialise(_small_star(_large_star(now)), files)
         seen = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(now)
         now = new

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Forest, in_blocks
-from .common import materialise
+from .common import BATCH_BYTES, few_files, materialise
 from .components import connected_components
 from .simhash import close_pairs, majority, one_of_each, shingle_hashes
 
@@ -149,12 +149,13 @@ def _similar(table: pa.Table, group: np.ndarray, side: np.ndarray) -> Iterator[p
 
 def _confirmed(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles are as similar as SIMILAR asks."""
-    pairs = materialise(pairs.distinct())
+    few = few_files(docs.sparkSession)
+    pairs = materialise(pairs.distinct(), few)
     sets = materialise(_shingle_sets(docs, text, classes, pairs.select(F.col("u").alias("cid")).unionAll(pairs.select(F.col("v").alias("cid")))))
     both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     part, whole = SIMILAR
-    return materialise(both.filter(whole * shared >= part * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+    return materialise(both.filter(whole * shared >= part * (F.size("a") + F.size("b") - shared)).select("u", "v"), few)
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,28 +172,30 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Large groups are joined first by the FIRST_LINKS nearest partners of each
     member of a bucket, so links grow with the members. Pairs that still lie in
     different components are then all compared inside their buckets, to which
-    the sets of their members go; only a spanning forest leaves a task.
+    the sets of their members go; only a spanning forest leaves a task. Tables
+    of ids and links are written in few_files().
     """
+    few = few_files(docs.sparkSession)
     seen = materialise(_sketches(docs, doc_id, text))
     classes = materialise(seen.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
 
     def members(rooted: DataFrame) -> DataFrame:
         return rooted.select("cid", "root", "fp", F.posexplode("keys").alias("tab", "key"))
 
-    first = _confirmed(docs, text, classes, in_blocks(members(classes.withColumn("root", F.col("cid"))), "cid", _nearest, "u long, v long"))
-    roots = connected_components(first).withColumnRenamed("node", "cid")
+    first = _confirmed(docs, text, classes, in_blocks(members(classes.withColumn("root", F.col("cid"))), "cid", _nearest, "u long, v long", files=few))
+    roots = connected_components(first, few).withColumnRenamed("node", "cid")
     rooted = materialise(classes.select("cid", "keys", "fp").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
-    left = materialise(in_blocks(members(rooted), "cid", _undecided, "tab int, key long, cid long").distinct())
+    left = materialise(in_blocks(members(rooted), "cid", _undecided, "tab int, key long, cid long", files=few).distinct(), few)
     sets = materialise(_shingle_sets(docs, text, classes, left.select("cid")))
     held = left.join(rooted.select("cid", "root", "fp"), "cid").join(sets, "cid")
-    links = materialise(first.unionAll(in_blocks(held, "cid", _similar, "u long, v long", buckets=left)))
-    roots = connected_components(links).withColumnRenamed("node", "cid")
+    links = materialise(first.unionAll(in_blocks(held, "cid", _similar, "u long, v long", buckets=left, most_bytes=BATCH_BYTES, files=few)), few)
+    roots = connected_components(links, few).withColumnRenamed("node", "cid")
     placed = classes.select("cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    verdicts = materialise(placed.join(least, "root").select("cid", "component_id", F.col("root").alias("component")))
+    verdicts = materialise(placed.join(least, "root").select("cid", "component_id", F.col("root").alias("component")), few)
     return seen.select("doc_id", "text_hash", "cid").join(verdicts, "cid").select("doc_id", "component_id", "text_hash", "component")
 
 
 def one_of_each_near_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component of near_copies(), by the rules of one_of_each()."""
-    return one_of_each(docs, near_copies(docs, doc_id, text), doc_id, text)
+    return one_of_each(docs, near_copies(docs, doc_id, text), doc_id, text, few_files(docs.sparkSession))

@@ -237,7 +237,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return one_of_each(docs, found, doc_id, text)
 
 
-def one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+def one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str, files: int | None = None) -> DataFrame:
     """docs with one document of each component that members (doc_id, text_hash, component) tell.
 
     It is that of the smallest id; ids that tie, and rows without an id, which
@@ -247,19 +247,20 @@ def one_of_each(docs: DataFrame, members: DataFrame, doc_id: str, text: str) ->
     Who goes is decided on ids and hashes. These are broadcast to the scan of
     the texts if they are counted to be few (BROADCAST_ROWS), so that no text is
     shuffled; else Spark joins them by shuffle. Only texts of repeated rows meet.
+    files: of the tables of ids and hashes, see materialise().
     """
     rows = members.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("rows"))
-    rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")))
+    rows = materialise(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")), files)
     # a table, so that Spark may broadcast it or split the rows of a large component
-    first = materialise(rows.groupBy("component").agg(F.min("place").alias("first")))
+    first = materialise(rows.groupBy("component").agg(F.min("place").alias("first")), files)
     judged = rows.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("place") == F.col("first")).alias("_stays"), (F.col("rows") > 1).alias("_several"))
-    decided = broadcast_if_small(judged.filter(~F.col("_stays") | F.col("_several")))
+    decided = broadcast_if_small(judged.filter(~F.col("_stays") | F.col("_several")), files=files)
     if decided is None:
         return docs
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     left = hashed.join(decided, same, "left_anti").select(*docs.columns)
-    again = broadcast_if_small(decided.filter("_stays"))
+    again = broadcast_if_small(decided.filter("_stays"), files=files)
     if again is None:
         return left
     several = hashed.join(again, same, "left_semi").groupBy(doc_id, "_text_hash").agg(F.first(F.struct(*docs.columns)).alias("_row"))
