@@ -59,17 +59,22 @@ def norm_soft(text: Column) -> Column:
     return F.btrim(F.regexp_replace(strip_marks(text), "[^a-z0-9@]+", " "))
 
 
+_OTHER = re.compile("[^a-z0-9@]+")
+
+
 def plain_strip(text: str) -> str:
     """strip_marks() of a Python string."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
 
 
 def plain_norm(text: str) -> str:
-    return re.sub("[^a-z0-9@]+", "", plain_strip(text))
+    return _OTHER.sub("", plain_strip(text))
 
 
 def plain_soft(text: str) -> str:
-    return re.sub("[^a-z0-9@]+", " ", plain_strip(text)).strip()
+    return _OTHER.sub(" ", plain_strip(text)).strip()
 
 
 _CANON = str.maketrans({x: k for k, v in LOOK_ALIKES.items() for x in v})

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.names import FIRST_NAMES, SURNAMES, NameFinder
+from .groups import map_groups
 from .layout import PageReader, Place, Word, abbreviated_names, drop_parts, exact_names, merge_name, merge_reading, repeated_values
 
 PAGE = ["doc_id", "page", "width", "height", "words", "verification_words"]
@@ -25,7 +27,7 @@ def read_pages(pages: DataFrame, codes: Iterable[str], first_names: frozenset[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield _table([(r.doc_id, Place(r.page, f)) for r in rows.itertuples(index=False) for f in _page_findings(reader, r, wanted)])
+            yield pd.DataFrame(_rows([(r.doc_id, Place(r.page, f)) for r in rows.itertuples(index=False) for f in _page_findings(reader, r, wanted)]), columns=FINDING)
 
     return pages.select(*PAGE).mapInPandas(run, PAGE_FINDING.format(dict(pages.dtypes)["doc_id"]))
 
@@ -38,8 +40,8 @@ def read_documents(pages: DataFrame, codes: Iterable[str], names: list[str] = ()
     """
     wanted, reader, listed = set(codes), PageReader(NameFinder(first_names, surnames)), list(names)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = [*rows.sort_values("page").itertuples(index=False)]
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = [SimpleNamespace(**r) for r in rows]
         first = [(r.page, _words(r.words)) for r in rows]
         found = [Place(r.page, f) for r in rows for f in _page_findings(reader, r, wanted)]
         found += repeated_values(first, found)
@@ -48,9 +50,9 @@ def read_documents(pages: DataFrame, codes: Iterable[str], names: list[str] = ()
         by_page = {r.page: drop_parts([f for n, f in found if n == r.page]) for r in rows}
         for n, f in exact_names(first, listed) if "NOMBRE" in wanted else ():
             by_page[n] = merge_name(by_page[n], f)
-        return _table([(rows[0].doc_id, Place(n, f)) for n, own in by_page.items() for f in own])
+        return _rows([(rows[0].doc_id, Place(n, f)) for n, own in by_page.items() for f in own])
 
-    return pages.select(*PAGE).groupBy("doc_id").applyInPandas(run, PAGE_FINDING.format(dict(pages.dtypes)["doc_id"]))
+    return map_groups(pages.select(*PAGE), ["doc_id"], ["page"], run, PAGE_FINDING.format(dict(pages.dtypes)["doc_id"]))
 
 
 def _page_findings(reader: PageReader, page, wanted: set[str]) -> list:
@@ -64,6 +66,6 @@ def _words(rows) -> list[Word]:
     return [Word(w["text"], w["x0"], w["y0"], w["x1"], w["y1"]) for w in (rows if rows is not None else [])]
 
 
-def _table(places: list[tuple[object, Place]]) -> pd.DataFrame:
+def _rows(places: list[tuple[object, Place]]) -> list[tuple]:
     boxes = lambda f: [dict(zip(("x0", "y0", "x1", "y1"), map(float, b), strict=True)) for b in f.boxes]
-    return pd.DataFrame([(doc, n, f.code, f.text, f.score, boxes(f)) for doc, (n, f) in places], columns=FINDING)
+    return [(doc, n, f.code, f.text, f.score, boxes(f)) for doc, (n, f) in places]
