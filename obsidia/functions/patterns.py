@@ -10,6 +10,8 @@ from typing import NamedTuple
 _H = r"[^\S\r\n]"
 _GAP = _H + r"{0,2}(?:\n" + _H + r"{0,2})?"
 _AT = r"(?:@|[\(\[]" + _GAP + r"(?:arroba|at)" + _GAP + r"[\)\]]|arroba|[\(\[]" + _GAP + r"[A-Za-z0-9]" + _GAP + r"[\)\]]?)"
+#: What follows the local part of an address whose signs may be spelled or parted.
+OBSCURED_HOST = _AT + _GAP + r"[A-Za-z0-9_-]{1,63}(?:" + _GAP + r"\." + _GAP + r"[A-Za-z0-9_-]{1,63}){0,4}" + _GAP + r"\." + _GAP + r"[A-Za-z]{2,24}(?![\w-])"
 _MONTH = "(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)"
 _DATE = r"(?:(?<!\d)\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}(?!\d)|(?<!\d)\d{1,2}\s+de\s+" + _MONTH + r"\s+(?:de\s+)?\d{4}(?!\d))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -35,8 +37,7 @@ DETECTORS = [
     Detector("EMAIL", r"[\w.%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", guard="@"),
     Detector(
         "EMAIL",
-        r"(?<![\w.%+-])[\w%+-]{1,64}(?:" + _GAP + r"\." + _GAP + r"[\w%+-]{1,64}){0,8}" + _GAP + _AT + _GAP
-        + r"[A-Za-z0-9_-]{1,63}(?:" + _GAP + r"\." + _GAP + r"[A-Za-z0-9_-]{1,63}){0,4}" + _GAP + r"\." + _GAP + r"[A-Za-z]{2,24}(?![\w-])",
+        r"(?<![\w.%+-])[\w%+-]{1,64}(?:" + _GAP + r"\." + _GAP + r"[\w%+-]{1,64}){0,8}" + _GAP + OBSCURED_HOST,
         ignore_case=True, guard=r"[@(\[]|(?i)arroba", fallback=True,
     ),
     Detector("WEB_REDES", r"(?:https?://|www\.)\S+(?:(?<=[/\-_=?&])\n[^\s@]+)?|(?<![\w@.])@[A-Za-z0-9_.]{3,30}\b", ignore_case=True, guard=r"@|://|(?i)www\."),

@@ -1,4 +1,4 @@
-"""Spans struct<start, end, code>: matches with offsets, overlaps, and splicing, as expressions.
+"""Spans struct<start, end, code>: matches with offsets, and splicing, as expressions.
 
 All are linear in a text and its spans, or nearly so: an array that grows by
 one in a fold is copied each time, so folds run over short stretches, whose ends
@@ -8,14 +8,12 @@ are folded again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..catalog import PRIORITY
 from .arrays import let
 from .patterns import TRAILING, Detector, java
 from .validators import CHECKS
@@ -64,10 +62,6 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) == 0, none).otherwise(placed(whole)))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def detector_spans(text: Column, detector: Detector) -> Column:
     """Checked and trimmed spans of one detector; its guard saves the pattern where nothing can match."""
     found = matches(text, java(detector), detector.group)
@@ -79,58 +73,6 @@ def detector_spans(text: Column, detector: Detector) -> Column:
     return spans
 
 
-@cache
-def _rank() -> dict[str, int]:
-    return {code: i for i, code in enumerate(PRIORITY)}
-
-
-def _resolve_few(spans: Column) -> Column:
-    """resolve() of spans that all may overlap, each against all taken ones."""
-    rank = F.create_map(*[F.lit(x) for pair in _rank().items() for x in pair])
-    keyed = F.transform(spans, lambda s, i: F.struct(F.coalesce(rank[s["code"]], F.lit(99)).alias("rank"), s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), i.alias("nth"), s.alias("span")))
-    taken = F.aggregate(F.array_sort(keyed), F.array().cast(NO_SPANS), lambda acc, k: F.when(F.exists(acc, lambda t: overlaps(t, k["span"])), acc).otherwise(F.array_append(acc, k["span"])))
-    return F.array_sort(taken)
-
-
-def clusters(spans: Column) -> Column:
-    """Spans in order of start, as an array of arrays: spans of different arrays don't overlap.
-
-    A span begins a cluster if it begins at or after the furthest end before it.
-    """
-
-    def of(s: Column) -> Column:
-        reach = let(F.transform(s, lambda x: x["end"]), lambda ends: scan(ends, F.greatest))
-
-        def cut(r: Column) -> Column:
-            begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i]["start"] >= r[F.greatest(i - 1, F.lit(0))]))
-            return let(begins, lambda b: F.transform(b, lambda at, k: F.transform(F.sequence(at, F.coalesce(F.get(b, k + 1), F.size(s)) - 1), lambda i: s[i])))
-
-        return let(reach, cut)
-
-    # a stable order: emission decides among spans of the same place and category
-    order = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("nth"), s.alias("span")))
-    return let(F.transform(F.array_sort(order), lambda x: x["span"]), of)
-
-
-def resolve(spans: Column) -> Column:
-    """Disjoint spans in order of start: by priority, then start, then the longer, then emission.
-
-    Only spans of a cluster can exclude each other, so each cluster is resolved
-    by itself; where clusters are few spans each, as in any text, time is linear.
-    """
-    single = lambda c: F.when(F.size(c) == 1, c).otherwise(_resolve_few(c))
-    return F.when(F.size(spans) < 2, spans).when(F.size(spans) <= 16, _resolve_few(spans)).otherwise(F.flatten(F.transform(clusters(spans), single)))
-
-
-def without(spans: Column, taken: Column) -> Column:
-    """Spans that overlap none of taken; where there are many, only those of the same cluster are compared."""
-    few = F.filter(spans, lambda s: ~F.exists(taken, lambda t: overlaps(s, t)))
-    marked = F.concat(F.transform(taken, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("code"))), spans)
-    own = lambda c: F.filter(c, lambda s: s["code"].isNotNull() & ~F.exists(c, lambda t: t["code"].isNull() & overlaps(s, t)))
-    many = F.flatten(F.transform(clusters(marked), own))
-    return F.when(F.size(spans) * F.size(taken) <= 4096, few).otherwise(many)
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _cut(texts: pd.Series, bounds: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [t[a:b] for a, b in zip(x[:-1], x[1:], strict=True)] for t, x in zip(texts, bounds, strict=True)])

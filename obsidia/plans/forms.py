@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..catalog import BLOCK
 from ..operators import paged, workflow
 from ..operators.detect import TEXT_CODES, detect, findings
+from ..operators.groups import dealt
 from ..operators.propagate import propagate
 from ..operators.score import recall
 from ..operators.treat import treat_spans
@@ -47,7 +48,8 @@ SQL: dict[str, str] = {}
 
 
 def _rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    # a small file of keys is one task, of which texts would be made and read
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")))
     return orders.select(F.col("k").alias("doc_id"), F.expr(text).alias("text"))
 
 
