@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm
+from .groups import map_groups
 
 
 def recall(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -14,22 +14,22 @@ def recall(expected: DataFrame, found: DataFrame) -> DataFrame:
 
     Both: doc_id, ord, entity_code, text. A pair matches if either normal form
     holds the other; signatures match any. Expected values choose in order, the
-    first free match. A document's values of a category are the unit.
+    first free match. A document's values of a category are the unit; values of
+    one ord are in order of their normal form.
     """
     rows = lambda df, kind: df.select("doc_id", "entity_code", "ord", norm(F.col("text")).alias("value"), F.lit(kind).alias("kind"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        free = part.loc[part.kind == "found", "value"].tolist()
-        code, hits, missed = part.entity_code.iloc[0], 0, 0
-        for want in part.loc[part.kind == "expected", "value"]:
+    def run(rows: list[dict]) -> list[tuple]:
+        code, hits, missed = rows[0]["entity_code"], 0, 0
+        free = [r["value"] for r in rows if r["kind"] == "found"]
+        for want in (r["value"] for r in rows if r["kind"] == "expected"):
             at = next((i for i, v in enumerate(free) if code == "FIRMA" or (want and v and (want in v or v in want))), None)
             if at is None:
                 missed += 1
             else:
                 hits += 1
                 free.pop(at)
-        return pd.DataFrame([(part.doc_id.iloc[0], code, hits, missed, len(free))], columns=["doc_id", "entity_code", "hits", "missed", "extra"])
+        return [(rows[0]["doc_id"], code, hits, missed, len(free))]
 
     both = rows(expected, "expected").unionByName(rows(found, "found"))
-    return both.groupBy("doc_id", "entity_code").applyInPandas(run, f"doc_id {dict(both.dtypes)['doc_id']}, entity_code string, hits long, missed long, extra long")
+    return map_groups(both, ["doc_id", "entity_code"], ["ord", "value"], run, f"doc_id {dict(both.dtypes)['doc_id']}, entity_code string, hits long, missed long, extra long")
