@@ -45,23 +45,37 @@ def _accented() -> tuple[str, str]:
 
 
 def strip_marks(text: Column) -> Column:
-    """Text without accents, in lower case."""
-    return F.lower(F.regexp_replace(F.translate(text, *_accented()), r"\p{Mn}+", ""))
+    """Text without accents, in lower case; a text of ASCII alone has none, and the table is dear."""
+    bare = F.regexp_replace(F.translate(text, *_accented()), r"\p{Mn}+", "")
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(bare))
 
 
-def norm(text: Column) -> Column:
-    """Only a-z, 0-9 and @ of the text without accents."""
-    return F.regexp_replace(strip_marks(text), "[^a-z0-9@]+", "")
+#: Characters of ASCII that no normal form holds.
+_PARTING = "".join(c for c in map(chr, range(128)) if not re.match("[a-z0-9@]", c))
 
 
 def norm_soft(text: Column) -> Column:
-    """The same with one space between stretches."""
-    return F.btrim(F.regexp_replace(strip_marks(text), "[^a-z0-9@]+", " "))
+    """Only a-z, 0-9 and @ of the text without accents, with one space between stretches.
+
+    Patterns are dear by their matches, so most characters are replaced one by one.
+    """
+    parted = F.translate(strip_marks(text), _PARTING, " " * len(_PARTING))
+    return F.btrim(F.regexp_replace(F.regexp_replace(parted, r"[^\x00-\x7f]+", " "), " {2,}", " "))
+
+
+def norm(text: Column) -> Column:
+    """The same without the spaces."""
+    return norm_of_soft(norm_soft(text))
 
 
 _OTHER = re.compile("[^a-z0-9@]+")
 
 
+def norm_of_soft(soft: Column) -> Column:
+    """norm() of a text whose norm_soft() is at hand."""
+    return F.replace(soft, F.lit(" "), F.lit(""))
+
+
 def plain_strip(text: str) -> str:
     """strip_marks() of a Python string."""
     if text.isascii():

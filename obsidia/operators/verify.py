@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import norm, norm_soft
+from ..functions.normalize import norm, norm_of_soft, norm_soft
 
 #: Shortest normal values that are sought with and without their separators.
 SOFT, HARD = 4, 9
@@ -20,13 +20,14 @@ def leaks(suppressed: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFram
     Joined by document, so work is values times pieces of each document; a value
     that several pieces hold counts once.
     """
-    soft, hard = norm_soft(F.col("value")), norm(F.col("value"))
-    sought = suppressed.select(*keys, "value", soft.alias("_soft"), hard.alias("_hard")).filter(F.length("_hard") >= SOFT).distinct()
-    held = pieces.select(*[F.col(k).alias(f"_p_{k}") for k in keys], norm_soft(F.col("text")).alias("_piece_soft"), norm(F.col("text")).alias("_piece_hard"))
+    values = suppressed.select(*keys, "value", norm_soft(F.col("value")).alias("_soft")).distinct()
+    sought = values.withColumn("_hard", norm_of_soft(F.col("_soft"))).filter(F.length("_hard") >= SOFT)
+    held = pieces.select(*[F.col(k).alias(f"_p_{k}") for k in keys], norm_soft(F.col("text")).alias("_piece_soft"))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k) == F.col(f"_p_{k}")
-    found = ((F.col("_soft") != "") & F.col("_piece_soft").contains(F.col("_soft"))) | ((F.length("_hard") >= HARD) & F.col("_piece_hard").contains(F.col("_hard")))
+    hard = norm_of_soft(F.col("_piece_soft"))
+    found = F.col("_piece_soft").contains(F.col("_soft")) | ((F.length("_hard") >= HARD) & hard.contains(F.col("_hard")))
     return sought.join(held, same & found, "left_semi").select(*keys, "value")
 
 
